@@ -335,7 +335,7 @@ def test_pages_without_a_declared_article(spark):
     assert pages.main_text(page) == f"Short lead\n{text}\nEnding\n{text}"
     got = spark.createDataFrame([(1, "u", page), (2, None, None), (2, "v", ""), (3, "w", "<p><script>x")], "page_id long, url string, html string")
     out = rows(pages.extract(got.withColumn("text", F.lit(1))), "page_id", "n_chars")
-    assert out == [(1, len(text) * 2 + 18), (2, 0), (2, 0), (3, 0)]
+    assert out == [(1, 2 * len(text) + len("Short lead") + len("Ending") + 3), (2, 0), (2, 0), (3, 0)]
 
 
 def test_second_pass_takes_the_nearest_neighbour():
