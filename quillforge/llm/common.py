@@ -79,6 +79,18 @@ def batches(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch
 
 
+def gathered(it: Iterable[pa.RecordBatch], rows: int = 4000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold that many rows or bytes, for work that gains from many rows at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches(it):
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def keep_rows(docs: DataFrame, text_col: str, decide: Callable[[list[bytes]], list[bool]]) -> DataFrame:
     """Rows whose text is decided to stay, with all their columns; no shuffle."""
     small_batches(docs.sparkSession)

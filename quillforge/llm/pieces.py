@@ -24,11 +24,43 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import batches, small_batches, texts, two
+from .common import batches, gathered, small_batches, texts, two
 
 MARK = "▁"
 LETTERS, STOPS = "a-zA-ZÀ-ÖØ-öø-ÿ", ",.!?;:|%#*$&"
 BASE = np.uint64(0x100000001B3)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, so that multiplying by it loses nothing
+
+
+class SortedKeys:
+    """Sorted 64-bit keys that whole arrays probe at once: the leading bits name a short stretch of the sorted keys."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        assert len(np.unique(keys)) == len(keys), "keys collide"
+        edges = np.arange(1, (1 << self.BITS) + 1, dtype=np.uint64) << np.uint64(64 - self.BITS)
+        self.first = np.zeros((1 << self.BITS) + 1, dtype=np.int32)
+        self.first[1:-1] = np.searchsorted(self.keys, edges[:-1])
+        self.first[-1] = len(keys)
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    def __call__(self, probes: np.ndarray) -> np.ndarray:
+        """The value of each probe, or -1."""
+        flat = probes.ravel()
+        bucket = (flat >> np.uint64(64 - self.BITS)).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        out = np.full(len(flat), -1, dtype=np.int64)
+        live = np.flatnonzero(at < end)
+        at, end, wanted = at[live], end[live], flat[live]
+        for _ in range(self.most):
+            hit = self.keys[at] == wanted
+            out[live[hit]] = self.values[at[hit]]
+            more = ~hit & (at + 1 < end)
+            live, at, end, wanted = live[more], at[more] + 1, end[more], wanted[more]
+        return out.reshape(probes.shape)
 
 
 class PieceCodec:
@@ -47,10 +79,8 @@ class PieceCodec:
         self.longest = max(map(len, self.normal), default=1)
         self.unknown = n  # stands for any character without a piece while words are cut
         self.whole = {i for p, i in self.normal.items() if self.merge(p) == [p]}
-        keys = np.array([self.hash(self.pieces[i]) for i in self.whole], dtype=np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array(list(self.whole), dtype=np.int64)[order]
-        assert len(np.unique(self.keys)) == len(self.keys), "piece keys collide"
+        keys = np.array([self.hash(self.pieces[i]) for i in self.whole], dtype=np.uint64) * SPREAD
+        self.found = SortedKeys(keys, np.array(list(self.whole), dtype=np.int64))
         self._ranks()
         # no merge crosses a neighbourhood that no piece holds, so words may end there
         ends = "" if any(re.search(f"[{LETTERS}][{STOPS}]", p) for p in self.normal) else f"{MARK}*[{LETTERS}]+(?=[{STOPS}])|"
@@ -100,8 +130,7 @@ class PieceCodec:
                 if self.merge_last(piece, order[a], order[b]):
                     self.left[k], self.right[k] = a, b
                     break
-        self.joined = np.array(sorted(joined), dtype=np.int64)
-        self.joined_rank = np.array([joined[x] for x in self.joined.tolist()], dtype=np.int64)
+        self.joined = SortedKeys(np.array(list(joined), dtype=np.uint64) * SPREAD, np.array(list(joined.values()), dtype=np.int64))
 
     def merge_last(self, piece: str, a: int, b: int) -> bool:
         """Whether the last merge that makes the piece joins exactly these two."""
@@ -125,8 +154,8 @@ class PieceCodec:
         limit = np.full(len(live), np.iinfo(np.int64).max)
         while len(live):
             key = a * self.width + b
-            at = np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)
-            fails = (self.joined[at] == key) & (self.joined_rank[at] < limit)
+            merged = self.joined(key.astype(np.uint64) * SPREAD)
+            fails = (merged >= 0) & (merged < limit)
             ok[live[fails]] = False
             more, below = self.right[a], self.left[b]
             can_a, can_b = more != a, below != b
@@ -151,8 +180,7 @@ class PieceCodec:
         for end in range(1, size + 1):
             lengths = np.arange(1, min(end, self.longest) + 1)
             h = prefix[:, end, None] - prefix[:, end - lengths] * power[lengths]
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            token = np.where(self.keys[at] == h, self.key_ids[at], -1)
+            token = self.found(h * SPREAD)
             token[:, 0] = np.where(token[:, 0] < 0, self.unknown, token[:, 0])
             row, col = np.nonzero((token >= 0) & (last[:, end - lengths] != -1))
             t, before = token[row, col], last[row, end - lengths[col]]
@@ -164,13 +192,16 @@ class PieceCodec:
             last[found, end] = token[np.arange(n), best][found]
             step[found, end] = lengths[best][found]
         out = []
-        for k in range(n):
+        for word, pieces, lengths in zip(words, last.tolist(), step.tolist(), strict=True):
             ids, end = [], size
             while end > 0:
-                t, length = int(last[k, end]), int(step[k, end])
+                length = lengths[end]
                 if length <= 0:
-                    raise ValueError(f"no segmentation of {words[k]!r}")
-                ids += [t] if t != self.unknown else [self.byte_ids[b] for b in reversed(words[k][end - 1].encode())]
+                    raise ValueError(f"no segmentation of {word!r}")
+                if pieces[end] != self.unknown:
+                    ids.append(pieces[end])
+                else:
+                    ids += [self.byte_ids[b] for b in reversed(word[end - 1].encode())]
                 end -= length
             out.append(ids[::-1])
         return out
@@ -239,7 +270,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
     def run(it):
         own = codec(model_file)
-        for batch in batches(it):
+        for batch in gathered(it):
             lines = texts(batch)
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in own.encode(lines)]
             at = np.cumsum([0, *map(len, ids)]).astype(np.int32)
