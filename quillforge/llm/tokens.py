@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,33 +36,84 @@ from .common import batches, fresh, small_batches, texts, two
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 
+BYTE_CHARS = {  # the byte-level alphabet: printable bytes stand for themselves, the others are moved up from 256
+    b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)
+}
+BYTE_CHARS |= {b: 256 + k for k, b in enumerate(b for b, c in BYTE_CHARS.items() if c is None)}
+
+SPACE = chr(BYTE_CHARS[32])
+TOKEN_ID = attrgetter("id")
+
+
+class _Splits(dict):
+    """Ids of splits; a split that is not yet known goes through the tokenizer's model."""
+
+    def __init__(self, lib: Tokenizer):
+        self.model = lib.model
+
+    def ids(self, split: str) -> bytes:
+        if split.isascii() and split.isprintable():
+            mapped = split.replace(" ", SPACE)
+        else:
+            mapped = split.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", map(TOKEN_ID, self.model.tokenize(mapped))).tobytes()
+
+    def __missing__(self, split: str) -> bytes:
+        ids = self[split] = self.ids(split)
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of what follows a single space, that space included."""
+
+    def __init__(self, splits: _Splits):
+        self.splits, self.tokenize = splits, splits.model.tokenize
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            mapped = SPACE + (chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_CHARS))
+            ids = array("I", map(TOKEN_ID, self.tokenize(mapped))).tobytes()
+        elif chunk[:-1].isalpha() and chunk[-1] in ",.":
+            ids = self[chunk[:-1]] + self.splits[chunk[-1]]
+        else:
+            ids = b"".join(map(self.splits.__getitem__, SPLIT.findall(" " + chunk)))
+        self[chunk] = ids
+        return ids
+
+
 class SplitEncoder:
-    """Byte-level encoder that remembers the ids of splits, at most ``keep`` of them."""
+    """Byte-level encoder that remembers the ids of splits and of what lies between single spaces, about ``keep`` of each.
+
+    The tokenizer's pattern joins a single space to what follows it, so a text without neighbouring spaces may be cut
+    before each space first; other texts are cut by the pattern.
+    """
 
-    def __init__(self, tokenizer_file: str, keep: int = 1 << 19):
+    def __init__(self, tokenizer_file: str, keep: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one Spark task, one core
         self.lib = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.splits = _Splits(self.lib)
+        self.chunks = _Chunks(self.splits)
         self.keep = keep
 
+    def one(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return b"".join(map(self.splits.__getitem__, SPLIT.findall(text)))
+        head, *rest = text.split(" ")
+        return b"".join([*map(self.splits.__getitem__, SPLIT.findall(head)), *map(self.chunks.__getitem__, rest)])
+
     def encode(self, lines: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.keep:
-            self.known.clear()
-        cut = [None if any(s in t for s in self.special) else SPLIT.findall(t) for t in lines]
-        new = list(set().union(*(c for c in cut if c)).difference(self.known))
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for split, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[split] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [
-            b"".join(map(get, c))
-            if c is not None
-            else np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            for t, c in zip(lines, cut, strict=True)
-        ]
+        out = []
+        for text in lines:
+            out.append(self.one(text))
+            if len(self.chunks) > self.keep:
+                self.chunks.clear()
+            if len(self.splits) > self.keep:
+                self.splits.clear()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -73,28 +126,35 @@ def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 6
 
     ``ends`` are positions one past each document's last id.
     """
-    seq = seq.astype(np.int64)
     last = np.zeros(len(seq), dtype=bool)
     last[ends - 1] = True
+    seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     total = first_rule
     for _ in range(rounds):
-        if len(seq) < 2:
+        per_round = min(per_round, (1 << 16) - total)
+        if len(seq) < 2 or per_round <= 0 or seq.max() >= 1 << 16:
             break
-        pair = (seq[:-1] << 32) | seq[1:]
-        pair[last[:-1]] = -1
+        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
         # hashed counts bound a pair's count from above; only pairs in full enough buckets are counted exactly
-        bucket = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        bucket = ((pair * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.intp)
         full = np.bincount(bucket, minlength=1 << 18) >= least
-        at = np.flatnonzero(full[bucket] & (pair >= 0))
-        values, counts = np.unique(pair[at], return_counts=True)
+        at = np.flatnonzero(full[bucket] & ~last[:-1])
+        some = pair[at]
+        ordered = np.sort(some)
+        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, int)
+        counts = np.diff(edge)
+        values = ordered[edge[:-1]]
         top = np.flatnonzero(counts >= least)
         if not len(top):
             break
         top = np.sort(top[np.argsort(-counts[top], kind="stable")[:per_round]])
         chosen = values[top]
-        where = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[where] == pair[at]
+        # a slot a bucket: of two chosen pairs in one bucket, one waits for the next round
+        slot = np.zeros(1 << 18, dtype=np.int64)
+        slot[(chosen * np.uint32(0x9E3779B1)) >> np.uint32(14)] = np.arange(len(chosen))
+        where = slot[bucket[at]]
+        hit = chosen[where] == some
         at, where = at[hit], where[hit]
         # of occurrences that overlap in a row, every other one from the left is replaced
         start = np.ones(len(at), dtype=bool)
@@ -110,8 +170,9 @@ def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 6
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-    flat = np.concatenate(rules) if rules else np.empty(0, np.int64)
-    return np.stack((flat >> 32, flat & 0xFFFFFFFF), axis=1), seq, np.flatnonzero(last) + 1
+    flat = np.concatenate(rules) if rules else np.empty(0, np.uint32)
+    both = np.stack((flat >> np.uint32(16), flat & np.uint32(0xFFFF)), axis=1).astype(np.int64)
+    return both, seq.astype(np.int64), np.flatnonzero(last) + 1
 
 
 class Grammar:
@@ -134,13 +195,15 @@ class Grammar:
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
         """Ids of a sequence of symbols."""
-        rule = seq >= self.first
-        inner = np.where(rule, seq - self.first, 0)
-        n = np.where(rule, self.lengths[inner] if len(self.lengths) else 1, 1)
-        source = _spread(np.where(rule, self.at[inner], 0), n)
-        out = np.repeat(np.where(rule, 0, seq), n).astype(np.uint32)
-        inside = np.repeat(rule, n)
-        out[inside] = self.flat[source[inside]]
+        rule = np.flatnonzero(seq >= self.first)
+        if not len(rule):
+            return seq.astype(np.uint32)
+        inner = seq[rule] - self.first
+        n = np.ones(len(seq), dtype=np.int64)
+        n[rule] = self.lengths[inner]
+        out = np.repeat(seq.astype(np.uint32), n)
+        begin = np.cumsum(n)[rule] - n[rule]
+        out[_spread(begin, n[rule])] = self.flat[_spread(self.at[inner], n[rule])]
         return out
 
 
@@ -168,7 +231,7 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.int64)
 
 
-SHARD = "first_rule int, rules binary, lengths binary, symbols binary, starts array<long>, part int, seq int, before long"
+SHARD = "first_rule int, rules binary, lengths binary, symbols binary, starts array<long>, part int, seq int, before long, n_ids long"
 
 
 def write_shards(
@@ -210,8 +273,9 @@ def write_shards(
                 "part": [part],
                 "seq": [seq],
                 "before": [before],
+                "n_ids": [size],
             }
-            types = [pa.list_(arrow), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64()]
+            types = [pa.list_(arrow), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for batch in batches(it):
@@ -234,10 +298,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document, decoded from the shards."""
     shards = spark.read.parquet(path)
     kind = shards.schema["doc_ids"].dataType.elementType
-    parts = shards.groupBy("part").agg(F.max(F.struct("seq", "before")).alias("top")).count()
     # ids of whole parts before each part: one row per part, whose number the writer's partitioning bounds
-    sizes = shards.mapInArrow(_shard_sizes, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()
-    assert len(sizes) == parts
+    sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
     base, total = {}, 0
     for r in sorted(sizes):
         base[r.part], total = total, total + r.n
@@ -248,9 +310,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 grammar, symbols = _open(row)
                 ids = grammar.expand(symbols).astype("<u4")
-                reach = np.concatenate(([0], np.cumsum(np.where(symbols >= grammar.first, _lengths(grammar, symbols), 1))))
+                reach = np.concatenate(([0], np.cumsum(_lengths(grammar, symbols))))
                 cut = reach[np.array(row["starts"])]
-                raw = ids.tobytes()
+                raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 start = base[row["part"]] + row["before"] + cut[:-1]
                 yield pa.RecordBatch.from_arrays(
@@ -263,9 +325,10 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lengths(grammar: Grammar, symbols: np.ndarray) -> np.ndarray:
-    if not len(grammar.lengths):
-        return np.ones(len(symbols), dtype=np.int64)
-    return grammar.lengths[np.where(symbols >= grammar.first, symbols - grammar.first, 0)]
+    n = np.ones(len(symbols), dtype=np.int64)
+    rule = np.flatnonzero(symbols >= grammar.first)
+    n[rule] = grammar.lengths[symbols[rule] - grammar.first]
+    return n
 
 
 def _open(row: dict) -> tuple[Grammar, np.ndarray]:
@@ -273,16 +336,6 @@ def _open(row: dict) -> tuple[Grammar, np.ndarray]:
     return Grammar(rules, unpack(row["lengths"]), row["first_rule"]), unpack(row["symbols"])
 
 
-def _shard_sizes(it):
-    for batch in batches(it):
-        part, n = batch.column("part").to_pylist(), []
-        for row in batch.select(["first_rule", "lengths", "symbols"]).to_pylist():
-            symbols, lengths = unpack(row["symbols"]), unpack(row["lengths"])
-            rule = symbols >= row["first_rule"]
-            n.append(int((~rule).sum() + lengths[symbols[rule] - row["first_rule"]].sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.int64())], names=["part", "n"])
-
-
 def decode_document(row: dict, k: int) -> np.ndarray:
     """Ids of the k-th document of a shard row; only its own symbols are expanded."""
     grammar, symbols = _open(row)
