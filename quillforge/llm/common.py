@@ -65,6 +65,19 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
+def lowest_hashes(df: DataFrame, key: Column, n: int, total: int | None = None) -> DataFrame:
+    """At most ``n`` rows, those of the lowest hashes of the key, as a sample that is the same every time.
+
+    A cut-off from the row count leaves about twice ``n`` rows before anything is sorted or sent, so what one task gathers
+    does not grow with the table.
+    """
+    total = df.count() if total is None else total
+    h = F.xxhash64(key)
+    if total > 4 * n:
+        df = df.where(h < F.lit(int(-(2**63) + 2**64 * (2 * n / total))))
+    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 

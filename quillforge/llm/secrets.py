@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, texts, two
+from .common import batches, lowest_hashes, small_batches, texts, two
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -133,8 +133,9 @@ def fit_texts(lines: Iterable[str]) -> MarkovRatio:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2000, max_chars: int = 30_000) -> MarkovRatio:
     """Train on at most ``max_docs`` documents of at most ``max_chars`` characters, those of the smallest hashes."""
-    frame = two(docs, id_col, text_col).where(F.length("text") <= max_chars)
-    rows = frame.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(max_docs)
+    frame = two(docs, id_col, text_col)
+    short = frame.where(F.length("text") <= max_chars)
+    rows = lowest_hashes(short, F.struct("doc_id", "text"), max_docs, total=frame.count())
     return fit_texts(x or "" for x in rows.select("text").toArrow()["text"].to_pylist())
 
 
