@@ -104,18 +104,30 @@ def fit_texts(texts: list[str], names: list[str], size: int = 400) -> Profiles:
 
 
 def fit(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 300, max_chars: int = 20_000, size: int = 400
+    docs: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    max_docs: int = 300,
+    max_chars: int = 20_000,
+    max_languages: int = 1000,
+    size: int = 400,
 ) -> Profiles:
-    """Learn from a bounded sample; the caller has taken out documents that must not be learnt from."""
-    small_batches(docs.sparkSession)
+    """Learn from a bounded sample; the caller has taken out documents that must not be learnt from.
+
+    Of more than ``max_languages`` languages the most frequent are learnt. A cut-off on hashes, from the counts of each
+    language, leaves about twice ``max_docs`` documents a language before any text is moved.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     frame = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    frame = frame.where("lang is not null and text is not null").where(F.length("text") <= max_chars)
-    h = F.xxhash64("text")
-    ranked = frame.withColumn("h", h).withColumn("part", F.pmod("h", F.lit(16)))
-    first = Window.partitionBy("lang", "part").orderBy("h")
-    ranked = ranked.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_docs)
-    again = Window.partitionBy("lang").orderBy("h")
-    kept = ranked.withColumn("k", F.row_number().over(again)).where(F.col("k") <= max_docs)
+    frame = frame.where("lang is not null and text is not null")
+    counts = frame.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    share = spark.createDataFrame([(r["lang"], 2.0 * max_docs / r["count"]) for r in counts], "lang string, share double")
+    h = F.xxhash64("text", "lang")
+    near = frame.where(F.length("text") <= max_chars).withColumn("h", h).join(F.broadcast(share), "lang")
+    near = near.where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("share")).dropDuplicates(["h", "lang"])
+    first = Window.partitionBy("lang").orderBy("h")
+    kept = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_docs)
     got = kept.select("text", "lang").toArrow()
     return fit_texts(got["text"].to_pylist(), got["lang"].to_pylist(), size)
 
