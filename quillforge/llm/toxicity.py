@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, keep_rows, raw_texts, small_batches, two
+from .common import batches, keep_rows, lowest_hashes, raw_texts, small_batches, two
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -67,14 +67,21 @@ def fit_texts(texts: list[bytes], labels: list[int], l2: float = 1e-3, steps: in
     rows = [row[ratio[row] != 0] for row in rows]
     owner = np.repeat(np.arange(len(y), dtype=np.int32), [len(row) for row in rows])
     flat = np.concatenate(rows)
+    # blocks of whole rows keep the working arrays of a step small
+    cuts = np.cumsum([0, *map(len, rows)])[::500].tolist()
+    cuts = [*cuts, len(flat)] if cuts[-1] < len(flat) else cuts
+    blocks = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
     del rows
-    value = ratio[flat]
     w, b = np.zeros(size), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(owner, weights=w[flat] * value, minlength=len(y)) + b
+        z, u, g = np.full(len(y), b), w * ratio, l2 * w
+        for s in blocks:
+            z += np.bincount(owner[s], weights=u[flat[s]], minlength=len(y))
         r = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
-        g, gb = np.bincount(flat, weights=r[owner] * value, minlength=size) + l2 * w, r.sum()
+        for s in blocks:
+            g += np.bincount(flat[s], weights=r[owner[s]], minlength=size) * ratio
+        gb = r.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w -= 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
@@ -94,11 +101,10 @@ def fit(
     """Fit on at most ``max_rows`` labelled texts; the caller has taken out rows that must not be learnt from."""
     marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     marked = marked.where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    marked = marked.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    marked = lowest_hashes(marked, F.col("id"), max_rows)
     frame = two(docs, id_col, text_col).where(F.octet_length("text") <= max_bytes)
     rows = frame.join(marked, frame["doc_id"] == marked["id"]).select("doc_id", "text", "y")
-    rows = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = rows.select("text", "y").toArrow()
+    got = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toArrow()
     return fit_texts(got["text"].cast(pa.binary()).to_pylist(), [int(x > 0) for x in got["y"].to_pylist()])
 
 
