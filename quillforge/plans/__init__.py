@@ -1 +1 @@
-"""See the modules of this package."""
+"""Driver-side plans and the catalogue of registered queries."""
