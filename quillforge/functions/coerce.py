@@ -34,12 +34,12 @@ def strict_boolean(df, name: str) -> Column:
 
 def missing_list(value: Column) -> Column:
     """Sorted names of a comma-separated list; blank entries go."""
-    return F.array_sort(F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), F.trim), lambda x: x != ""))
+    return F.array_sort(F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def six_decimals(value: Column) -> Column:
     """Text with six decimals for sinks; null becomes an empty field."""
-    return F.coalesce(F.format_string("%.6f", value), F.lit(""))
+    return F.when(value.isNotNull(), F.format_string("%.6f", value)).otherwise("")
 
 
 def integral(value: Column) -> Column:

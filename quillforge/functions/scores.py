@@ -14,7 +14,8 @@ SOURCES = {"cer_quality": "cer", "entropy_quality": "entropy"}
 
 
 def unit(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), finite(value)))
+    x = finite(value)
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))  # greatest and least skip nulls
 
 
 @dataclass(frozen=True)
@@ -160,7 +161,7 @@ def frame_stats(frames: Column, blank: int = 0) -> dict[str, Column]:
     probs = F.transform(frames, lambda p: F.when(F.abs(total(p) - 1.0) <= 0.05, p).otherwise(soft(p)))
     live = F.filter(probs, lambda p: F.array_position(p, F.array_max(p)) != blank + 1)
     n = F.nullif(F.size(live), F.lit(0))
-    entropy = F.transform(live, lambda p: -total(F.transform(p, lambda x: x * F.ln(x + 1e-9))))
+    entropy = F.transform(live, lambda p: -total(F.transform(p, lambda x: x * F.ln(F.greatest(x, F.lit(0.0)) + 1e-9))))
     top = F.transform(live, F.array_max)
     return {
         "entropy": total(entropy) / n,

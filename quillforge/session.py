@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,20 @@ def local_session(cpus: int | None = None, name: str = "quillforge", **conf: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_OWN: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where the session names none (tests on one machine), a temporary folder is made once per application.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="quillforge-")
+        base = "file://" + _OWN[app]
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -84,10 +84,10 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
 
 def numbered_lines(spark: SparkSession, path: str, count_blank: bool = True) -> DataFrame:
     """position (from 0) and value of the lines of a contract-size file; blank lines go, counted or not before."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("position", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("position", "value"))
     if count_blank:
         return lines.where(F.trim("value") != "")
-    kept = spark.read.option("wholetext", True).text(path)
+    kept = spark.read.text(path, wholetext=True)
     return kept.select(F.posexplode(F.filter(F.split("value", "\n"), lambda v: F.trim(v) != "")).alias("position", "value"))
 
 
