@@ -56,6 +56,18 @@ def two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of an input with fewer file splits than the session has cores; larger inputs stay as they are.
+
+    For work that costs much more a row than moving the row does. Sizes come from file metadata.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < split * cores else df
+
+
 def train_side(id_col: Column) -> Column:
     """True for rows that a model may learn from: crc32 of the id as text, modulo 4, is not 2."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 != 2, F.lit(False))
@@ -112,4 +124,4 @@ def keep_rows(docs: DataFrame, text_col: str, decide: Callable[[list[bytes]], li
         for batch in batches(it):
             yield batch.filter(pa.array(decide(raw_texts(batch, text_col)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

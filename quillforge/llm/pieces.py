@@ -24,7 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import batches, gathered, small_batches, texts, two
+from .common import batches, gathered, small_batches, spread, texts, two
 
 MARK = "▁"
 LETTERS, STOPS = "a-zA-ZÀ-ÖØ-öø-ÿ", ",.!?;:|%#*$&"
@@ -281,7 +281,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 names=["doc_id", "ids", "n_pieces", "exact"],
             )
 
-    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces int, exact boolean")
+    return spread(frame).mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces int, exact boolean")
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

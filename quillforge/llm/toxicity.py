@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, keep_rows, lowest_hashes, raw_texts, small_batches, two
+from .common import batches, keep_rows, lowest_hashes, raw_texts, small_batches, spread, two
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -118,7 +118,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = [model.score(t) for t in raw_texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, score double")
+    return spread(frame).mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
