@@ -3,10 +3,10 @@
 import oracle
 import pytest
 
-from quillforge.plans import catalog, catalog_more
+from quillforge.plans import catalog, catalog_more, catalog_scans
 
 SF = "/root/testdata/sf0.001"
-assert catalog_more
+assert catalog_more and catalog_scans
 
 
 @pytest.fixture(scope="module")
