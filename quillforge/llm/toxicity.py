@@ -1,10 +1,11 @@
 """Toxicity scores: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-Features are hashed n-grams of the lower-cased UTF-8 bytes, present or absent in a whole text. Each is multiplied by the
-log ratio of its smoothed document counts in toxic and clean training texts; logistic regression is fitted on top
-(full-batch Adam with an L2 penalty). The classifier is fitted on the driver from at most ``max_rows`` labelled texts of
-at most ``max_bytes`` bytes each, those of the smallest hashes, so the sample is bounded and the same every time.
-Scoring covers whole texts of any length.
+Texts are lower-cased, and each run of ASCII characters that are neither letters nor digits becomes one space, so marks
+between words don't hide where a word begins. Features are hashed n-grams of the UTF-8 bytes of the whole text, valued
+log2(1 + count). Each is multiplied by the log ratio of its smoothed document counts in toxic and clean training texts;
+logistic regression is fitted on top (full-batch Adam with an L2 penalty). The classifier is fitted on the driver from at
+most ``max_rows`` labelled texts of at most ``max_bytes`` bytes each, those of the smallest hashes, so the sample is
+bounded and the same every time. Scoring covers whole texts of any length, long ones in blocks.
 
 Null and empty texts have no features and get the intercept's score. Repeated rows are scored alike. Without labels of
 both kinds every score is 0. Labels that are null are ignored; an id labelled twice counts as toxic if any label says so.
@@ -21,22 +22,43 @@ from pyspark.sql import functions as F
 
 from .common import batches, keep_rows, lowest_hashes, raw_texts, small_batches, spread, two
 
-BITS = 18
-ORDERS = (3, 4, 5)
-
-
-def buckets(text: bytes, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> np.ndarray:
-    """Sorted distinct hash buckets of the n-grams of a text."""
-    b = np.frombuffer(b" " + text.lower() + b" ", dtype=np.uint8).astype(np.uint32)
-    seen = np.zeros(1 << bits, dtype=bool)
-    if len(text):
-        h = np.zeros(len(b), dtype=np.uint32)
-        for n in range(1, max(orders) + 1):
-            h = (h[: len(b) - n + 1] ^ b[n - 1 :]) * np.uint32(0x01000193) + np.uint32(n)
-            if n in orders:
-                x = h ^ (h >> np.uint32(15))
-                seen[(x * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)] = True
-    return np.flatnonzero(seen)
+BITS = 20
+ORDERS = (3, 4, 5, 6, 8)
+BLOCK = 1 << 18
+_PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+
+
+def plain(text: bytes) -> np.ndarray:
+    """Bytes of the lower-cased text with one space for each run of other ASCII characters, and one at both ends."""
+    low = text.decode("utf-8", "replace").lower().encode().translate(_PLAIN)
+    b = np.frombuffer(b" " + low + b" ", dtype=np.uint8)
+    return b[np.append(True, (b[1:] != 32) | (b[:-1] != 32))]
+
+
+def _hashed(b: np.ndarray, first: int) -> np.ndarray:
+    """Buckets of the n-grams that begin in the block at ``first``."""
+    part, out = b[first : first + BLOCK + max(ORDERS) - 1].astype(np.uint32), []
+    h = np.zeros(len(part), dtype=np.uint32)
+    for n in range(1, min(max(ORDERS), len(part)) + 1):
+        h = (h[: len(part) - n + 1] ^ part[n - 1 :]) * np.uint32(0x01000193) + np.uint32(n)
+        if n in ORDERS:
+            x = h[:BLOCK]
+            out.append(((x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hash buckets of the n-grams of a text, and log2(1 + count) of each."""
+    b = plain(text)
+    if len(b) <= BLOCK:
+        found, n = np.unique(_hashed(b, 0), return_counts=True)
+    else:
+        counts = np.zeros(1 << BITS, np.int64)
+        for first in range(0, len(b), BLOCK):
+            counts += np.bincount(_hashed(b, first), minlength=1 << BITS)
+        found = np.flatnonzero(counts)
+        n = counts[found]
+    return found.astype(np.int32), np.log2(1 + n)
 
 
 @dataclass
@@ -47,46 +69,58 @@ class Model:
     def score(self, text: bytes) -> float:
         if not np.isfinite(self.bias):
             return 0.0
-        z = float(self.weights[buckets(text)].sum(dtype=np.float64)) + self.bias
+        found, value = features(text)
+        z = float((self.weights[found] * value).sum(dtype=np.float64)) + self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit_texts(texts: list[bytes], labels: list[int], l2: float = 1e-3, steps: int = 120, min_docs: int = 3) -> Model:
+def fit_texts(texts: list[bytes], labels: list[int], l2: float = 1e-4, steps: int = 120, min_docs: int = 3, errors: float = 3.0) -> Model:
     y = np.array(labels, dtype=np.float64)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS, np.float32), -np.inf)
-    rows, size = [buckets(t).astype(np.int32) for t in texts], 1 << BITS
-    pos, every = np.zeros(size), np.zeros(size)
-    for row, toxic in zip(rows, labels, strict=True):
-        every[row] += 1
-        pos[row] += toxic
+    pos, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for text, toxic in zip(texts, labels, strict=True):
+        found = features(text)[0]
+        every[found] += 1
+        pos[found] += toxic
     ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((every - pos + 1) / (len(y) - y.sum() + 2))
-    # a ratio within the noise of its counts says nothing: shrink it by its standard error
+    # a ratio within the noise of its counts says nothing: shrink it by a multiple of its standard error
     error = np.sqrt(1 / (pos + 1) + 1 / (every - pos + 1))
-    ratio = np.where(every >= min_docs, np.sign(ratio) * np.maximum(0, np.abs(ratio) - 2 * error), 0.0)
-    rows = [row[ratio[row] != 0] for row in rows]
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), [len(row) for row in rows])
-    flat = np.concatenate(rows)
+    ratio = np.where(every >= min_docs, np.sign(ratio) * np.maximum(0, np.abs(ratio) - errors * error), 0.0)
+    used = np.flatnonzero(ratio)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    # only features that matter are held, so the second pass makes them again instead of keeping all
+    columns, values = [], []
+    for text in texts:
+        found, value = features(text)
+        here = place[found] >= 0
+        columns.append(place[found[here]])
+        values.append((value[here] * ratio[found[here]]).astype(np.float32))
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), [len(row) for row in columns])
     # blocks of whole rows keep the working arrays of a step small
-    cuts = np.cumsum([0, *map(len, rows)])[::500].tolist()
-    cuts = [*cuts, len(flat)] if cuts[-1] < len(flat) else cuts
+    cuts = np.cumsum([0, *map(len, columns)])[::500].tolist()
+    column, value = np.concatenate(columns), np.concatenate(values)
+    cuts = [*cuts, len(column)] if cuts[-1] < len(column) else cuts
     blocks = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
-    del rows
-    w, b = np.zeros(size), float(np.log(y.mean() / (1 - y.mean())))
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    del columns, values
+    w, b = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean())))
+    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
-        z, u, g = np.full(len(y), b), w * ratio, l2 * w
+        z, g = np.full(len(y), b), l2 * w
         for s in blocks:
-            z += np.bincount(owner[s], weights=u[flat[s]], minlength=len(y))
+            z += np.bincount(owner[s], weights=w[column[s]] * value[s], minlength=len(y))
         r = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
         for s in blocks:
-            g += np.bincount(flat[s], weights=r[owner[s]], minlength=size) * ratio
+            g += np.bincount(column[s], weights=r[owner[s]] * value[s], minlength=len(used))
         gb = r.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w -= 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return Model((w * ratio).astype(np.float32), float(b))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = w * ratio[used]
+    return Model(weights, float(b))
 
 
 def fit(

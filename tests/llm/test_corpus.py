@@ -277,6 +277,21 @@ def test_members_are_retried_alone(tmp_path):
 # --- classifiers
 
 
+def test_toxicity_features(monkeypatch):
+    """Blocks give what the whole text gives, and what a plain count of n-grams gives; marks and case don't matter."""
+    text = ("Ça VA, idiot!! x" * 300).encode()
+    whole = toxicity.features(text)
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    parts = toxicity.features(text)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    b = toxicity.plain(text).tobytes()
+    assert b.startswith(" ça va idiot x".encode()) and b.endswith(b" ")
+    grams = [b[k : k + n] for n in toxicity.ORDERS for k in range(len(b) - n + 1)]
+    assert (2 ** parts[1] - 1).sum().round() == len(grams) and len(parts[0]) <= len(set(grams))
+    assert (toxicity.features(b"an IDIOT!")[0] == toxicity.features(b"An -- idiot")[0]).all()
+    assert len(toxicity.features(b"")[0]) == 0 == len(toxicity.features(b"?")[0])
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     texts, labels = [], []
