@@ -174,3 +174,18 @@ def shannon(counts: Column) -> Column:
     """Entropy in nats of an array of counts."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     return F.aggregate(counts, F.lit(0.0), lambda a, x: a - F.when(x > 0, x / total * F.ln(F.when(x > 0, x) / total)).otherwise(0.0))
+
+
+# fixed values: components that are computed from another field
+COMPONENT_FIELDS = {"cer_quality": "cer", "entropy_quality": "entropy"}
+
+
+def component_field(name: str) -> str:
+    """The evidence field that a component is computed from."""
+    return COMPONENT_FIELDS.get(name, name)
+
+
+def threshold_rule(name: str) -> tuple[str, str] | None:
+    """Component and side of a threshold's name; None for names of no side."""
+    component, _, side = name.rpartition("_")
+    return (component, side) if component and side in ("min", "max") else None

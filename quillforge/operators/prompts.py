@@ -63,3 +63,35 @@ def with_numbers_on_repeats(rows: DataFrame, text: str, keys: list[str], positio
     """The second and later rows of a key get their number appended."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(position))
     return rows.withColumn("_n", n).withColumn(text, F.when(F.col("_n") > 1, F.concat_ws(" ", text, "_n")).otherwise(F.col(text))).drop("_n")
+
+
+# fixed values: percentages and prices that number texts draw from
+PERCENTS = [10, 15, 20, 25, 30, 40, 50, 70]
+PRICES = [99, 149, 199, 299, 499, 999, 1490, 2990]
+
+
+def number_text(seed: int, *keys: Column) -> Column:
+    """A year, discount, price, date or tag, each kind as likely; every part has a hash of its own."""
+
+    def between(part: str, low: int, high: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), F.lit(part), *keys), F.lit(high - low + 1)) + low
+
+    date = F.format_string("%02d.%02d.%d", between("day", 1, 28), between("month", 1, 12), between("year", 2024, 2027))
+    percent = F.concat(F.lit("−"), choice(list(map(str, PERCENTS)), seed, F.lit("percent"), *keys), F.lit("%"))
+    price = F.concat(choice(list(map(str, PRICES)), seed, F.lit("price"), *keys), F.lit(" ₽"))
+    kinds = [between("since", 2020, 2030).cast("string"), percent, price, date, F.concat(F.lit("#"), between("tag", 1, 999).cast("string"))]
+    return F.element_at(F.array(*kinds), between("kind", 1, len(kinds)).cast("int"))
+
+
+def pool_text(pools: DataFrame, draws: DataFrame, words: int, seed: int) -> DataFrame:
+    """A phrase of that many words for each draw, from the pool of its theme; pools are one row of bounded size a theme."""
+    joined = draws.join(pools, "theme")
+    at = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("draw")), F.size("words")) + 1).cast("int") for k in range(words)]
+    return joined.where(F.size("words") > 0).select("draw", "theme", F.concat_ws(" ", *[F.element_at("words", i) for i in at]).alias("phrase"))
+
+
+def add_scenes(pool: DataFrame, new: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """The pool and those new scenes whose key it lacks; of new ones with one key the first stays."""
+    first = F.min_by(F.struct(*pool.columns), position).alias("_row")
+    fresh = new.join(pool.select(*keys), keys, "left_anti").groupBy(*keys).agg(first)
+    return pool.unionByName(fresh.select("_row.*"))

@@ -127,3 +127,53 @@ def dataset_manifest(paths: list[str], text_suffixes: tuple[str, ...] = (".csv",
         hashed = p.endswith(text_suffixes) and size <= limit
         out.append({"path": p, "bytes": size, "sha256": file_sha256(p) if hashed else None})
     return out
+
+
+def evaluation_errors(config: dict) -> list[str]:
+    """What is wrong with a held-out evaluation: targets, baseline, seeds, revisions."""
+    targets, seeds, errors = config.get("targets", []), config.get("seeds", []), []
+    if len(targets) < 2:
+        errors.append("targets: two or more are needed")
+    if sum(bool(t.get("baseline")) for t in targets) != 1:
+        errors.append("targets: exactly one is the baseline")
+    if len({t.get("name") for t in targets}) != len(targets):
+        errors.append("targets: names repeat")
+    if not seeds or len(set(seeds)) != len(seeds) or any(isinstance(s, bool) or not isinstance(s, int) or s < 0 for s in seeds):
+        errors.append("seeds: unique whole numbers from 0 are needed")
+    errors += [f"revision of {t.get('name')}: 40 hex digits are needed" for t in targets if not re.fullmatch(r"[0-9a-f]{40}", str(t.get("revision", "")))]
+    return errors
+
+
+def evidence(paths: dict[str, str]) -> list[dict]:
+    """Name, path, size and hash of each file of evidence, in the order given; missing ones have neither size nor hash."""
+    out = []
+    for name, path in paths.items():
+        there = Path(path).is_file()
+        out.append({"name": name, "path": path, "bytes": Path(path).stat().st_size if there else None, "sha256": file_sha256(path) if there else None})
+    return out
+
+
+def verify_evidence(entries: list[dict]) -> list[dict]:
+    """Entries whose file is missing or has changed."""
+    now = {e["name"]: e for e in evidence({e["name"]: e["path"] for e in entries})}
+    found = []
+    for e in entries:
+        if now[e["name"]]["sha256"] is None:
+            found.append({"name": e["name"], "reason": "missing"})
+        elif now[e["name"]]["sha256"] != e["sha256"]:
+            found.append({"name": e["name"], "reason": "changed"})
+    return found
+
+
+def claim(path: str | Path, contract: dict) -> dict:
+    """The contract at the path: ours if we are the first to create it, else the one there, which must be the same."""
+    text = json.dumps(contract, sort_keys=True, ensure_ascii=False)
+    try:
+        with open(path, "x", encoding="utf-8") as f:
+            f.write(text)
+    except FileExistsError:
+        there = json.loads(Path(path).read_text(encoding="utf-8"))
+        if canonical_sha256(there) != canonical_sha256(contract):
+            changed = ", ".join(x["field"] for x in comparable(there, contract, set()))
+            raise ValueError(f"another contract is at {path}: {changed}") from None
+    return contract

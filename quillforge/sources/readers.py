@@ -157,3 +157,15 @@ def seed_input(value: str) -> tuple[int, str]:
     if not m:
         raise ContractError(f"{value!r} is not SEED=PATH")
     return int(m[1]), m[2]
+
+
+def word_pools(spark: SparkSession, path: str) -> DataFrame:
+    """theme, words of one JSON object of string arrays; the object is read as a map, so its keys need no schema."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("pools"))
+    return whole.select(F.explode("pools").alias("theme", "words"))
+
+
+def version_errors(documents: DataFrame, expected: str, column: str = "schema_version") -> DataFrame:
+    """Documents whose schema version is missing or another."""
+    reason = F.when(F.col(column).isNull(), "missing").otherwise("unexpected")
+    return documents.where(~F.col(column).eqNullSafe(F.lit(expected))).withColumn("reason", reason)

@@ -75,3 +75,24 @@ def markdown_table(df: DataFrame, limit: int = 100) -> str:
 def svg(points: list[tuple[float, float]], width: int = 640, height: int = 360) -> str:
     dots = "".join(f'<circle cx="{x:g}" cy="{y:g}" r="2"/>' for x, y in points)
     return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}">{dots}</svg>\n'
+
+
+def image_document(records: DataFrame, root: str, path: str) -> None:
+    """One JSON document with its root and a list of image entries; a document of report size, so one row holds it."""
+    entry = F.struct(
+        F.concat(F.lit("imgs/"), F.col("id"), F.lit(".png")).alias("img_name"), F.col("resolution").alias("width"), F.col("resolution").alias("height"),
+        "caption", F.lit(0.0).alias("wm_score"), "annotations",
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("id"), entry.alias("entry")))), lambda x: x["entry"])
+    records.agg(listed.alias("data_list")).select(F.lit(root).alias("data_root"), "data_list").coalesce(1).write.json(path)
+
+
+def record_list_hash(rows: DataFrame, keys: list[str], order: str, record: Column) -> DataFrame:
+    """SHA-256 of each key's records in order, each after its length as eight bytes, so that other splits differ.
+
+    The hash follows one order, so a key's records meet in one task: for manifests and other lists of bounded length.
+    """
+    part = F.concat(F.lpad(F.hex(F.octet_length(record).cast("long")), 16, "0"), F.hex(record.cast("binary")))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), part.alias("part"))))
+    joined = F.array_join(F.transform(listed, lambda x: x["part"]), "")
+    return rows.groupBy(*keys).agg(F.sha2(F.unhex(joined), 256).alias("sha256"))

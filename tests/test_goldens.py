@@ -332,3 +332,43 @@ def test_random_chain_of_ranks_is_spearman(spark):
     got = reports.compare_scorers(rows, "x", "y").first()
     pdf = rows.toPandas()
     assert math.isclose(got.spearman, pdf.x.rank().corr(pdf.y.rank()), abs_tol=1e-5)
+
+
+def test_number_text(spark):
+    """Every kind appears in its form, and the same seed gives the same texts on any partitioning."""
+    import re
+
+    from quillforge.operators import prompts as P
+
+    rows = spark.range(500).withColumnRenamed("id", "k")
+    a = {r.k: r.x for r in rows.select("k", P.number_text(1, F.col("k")).alias("x")).collect()}
+    b = {r.k: r.x for r in rows.repartition(7).select("k", P.number_text(1, F.col("k")).alias("x")).collect()}
+    forms = [r"20[23]\d", r"−\d\d%", r"\d{2,4} ₽", r"[0-3]\d\.[01]\d\.202[4-7]", r"#\d{1,3}"]
+    hits = [sum(bool(re.fullmatch(f, x)) for x in a.values()) for f in forms]
+    assert a == b and sum(hits) == 500 and min(hits) > 50
+
+
+def test_record_list_hash(spark):
+    import hashlib
+
+    from quillforge.sources import sinks
+
+    rows = spark.createDataFrame([("a", 2, "é"), ("a", 1, "xy"), ("b", 1, "")], "k string, at int, r string")
+    got = {r.k: r.sha256 for r in sinks.record_list_hash(rows, ["k"], "at", F.col("r")).collect()}
+
+    def want(*parts):
+        return hashlib.sha256(b"".join(len(p).to_bytes(8, "big") + p for p in parts)).hexdigest()
+
+    assert got == {"a": want(b"xy", "é".encode()), "b": want(b"")}
+
+
+def test_pool_text_and_errors(spark):
+    from quillforge.operators import prompts as P
+    from quillforge.plans import provenance as V
+
+    pools = spark.createDataFrame([("t", ["a", "b"]), ("none", [])], "theme string, words array<string>")
+    draws = spark.createDataFrame([(1, "t"), (2, "none"), (3, None)], "draw int, theme string")
+    got = P.pool_text(pools, draws, 3, 1).collect()
+    assert [r.draw for r in got] == [1] and set(got[0].phrase) <= {"a", "b", " "} and len(got[0].phrase.split()) == 3
+    good = {"targets": [{"name": "a", "revision": "0" * 40, "baseline": True}, {"name": "b", "revision": "1" * 40}], "seeds": [0, 3]}
+    assert V.evaluation_errors(good) == [] and len(V.evaluation_errors({})) == 3
