@@ -221,7 +221,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id count as one document, of which one row stays. Rows without an id can't be told apart and stay.
     """
     found = near_duplicates(docs, id_col, text_col, radius, shingle)
-    surplus = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    # written first, so that the planner knows its size: texts are shuffled only if the ids that go are too many to broadcast
+    surplus = stored(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone")), "surplus")
     kept = docs.join(surplus, docs[id_col] == surplus["gone"], "left_anti")
     repeated = docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(id_col).count().where("count > 1")
     if repeated.isEmpty():
