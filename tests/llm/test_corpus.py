@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillforge.llm import contamination, language, licenses, media, neardup, pages, pieces, queries, secrets, tokens, toxicity
+from quillforge.llm import contamination, language, licenses, media, neardup, overlap, pages, pieces, queries, secrets, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = "an ber ci do en fu ga he in jo ka lo mi no or pa qu re so ti".split()
@@ -143,6 +143,56 @@ def test_components_of_a_long_chain(spark):
     assert neardup.components(edges.limit(0)).count() == 0
 
 
+def brute_overlap(texts, similarity=0.8):
+    sets = []
+    for t in texts:
+        ws = (t or "").encode().lower().split()
+        sets.append({tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set())
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+                x, y = sorted((label[a], label[b]))
+                label = [x if z == y else z for z in label]
+    return label
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_overlap_against_brute_force(spark, tile):
+    rng = random.Random(6)
+    texts = list(AWKWARD)
+    line = prose(rng, 12)  # a line that many texts share
+    for n in (3, 8, 20, 60, 150, 400):
+        for _ in range(6):
+            ws = prose(rng, n).split()
+            texts.append(" ".join(ws))
+            for edits in (1, 2, n // 40 + 1, n // 25 + 1):
+                other = list(ws)
+                for k in rng.sample(range(n), min(edits, n)):
+                    other[k] = "edited" + str(rng.random())
+                texts.append(" ".join(other))
+            texts.append(line + "\n" + " ".join(ws[: n // 2]))
+    ws = prose(rng, 80).split()
+    texts += [" ".join([*ws[:k], f"x{k}", *ws[k + 1 :]]) for k in range(40)]  # one large group of near copies
+    want = brute_overlap(texts)
+    got = {r.doc_id: r.root for r in overlap.similar(frame(spark, texts), tile=tile, lags=2).collect()}
+    assert len({(got[k], want[k]) for k in got}) == len(set(got.values())) == len(set(want))
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    ws = prose(rng, 120).split()
+    docs = frame(spark, [" ".join(ws), " ".join([*ws[:60], "edited", *ws[61:]]), prose(rng, 120)])
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_overlap_of_an_empty_table(spark):
+    assert overlap.keep_first(frame(spark, [])).count() == 0
+
+
 def test_neardup_of_an_empty_table(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     nulls = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "q r s t u")], "doc_id long, text string")
