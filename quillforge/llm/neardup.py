@@ -50,17 +50,22 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, text_hash: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long), and h (hash of the raw text) if asked for."""
     small_batches(docs.sparkSession)
     frame = two(docs, id_col, text_col)
+    more = ["h"] if text_hash else []
+    if text_hash:
+        frame = frame.withColumn("h", F.xxhash64("text"))
 
     def run(it):
         for batch in batches(it):
             fp = np.array([fingerprint(t, shingle) for t in raw_texts(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            cols = [batch.column("doc_id"), pa.array(fp), *[batch.column(c) for c in more]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", *more])
 
-    return spread(frame).mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, fp long")
+    schema = ", ".join([f"doc_id {frame.schema['doc_id'].dataType.simpleString()}", "fp long", *[f"{c} long" for c in more]])
+    return spread(frame).mapInArrow(run, schema)
 
 
 def pivots(n: int) -> np.ndarray:
@@ -204,28 +209,48 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3
 ) -> DataFrame:
     """doc_id, fp, component_id (the smallest id that links reach), n_class (documents of the same fingerprint)."""
-    marked = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return _members(docs, id_col, text_col, radius, shingle).select("doc_id", "fp", "component_id", "n_class")
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, text_hash: bool = False) -> DataFrame:
+    """The columns of near_duplicates, root (the same in a component only), and h (hash of the raw text) if asked for."""
+    marked = stored(fingerprints(docs, id_col, text_col, shingle, text_hash), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_class")), "classes")
     roots = components(links(classes, radius))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "first", "n_class", F.coalesce("root", "fp").alias("root")
     )
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(lowest, "root").select(F.col("fp").alias("fp_"), "component_id", "n_class")
-    return marked.join(named, marked["fp"] == named["fp_"]).select("doc_id", "fp", "component_id", "n_class")
+    named = named.join(lowest, "root").select(F.col("fp").alias("fp_"), "root", "component_id", "n_class")
+    return marked.join(named, marked["fp"] == named["fp_"]).drop("fp_")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
     """One document of each component, the one of the smallest id, with all its columns.
 
-    Rows that repeat an id count as one document, of which one row stays. Rows without an id can't be told apart and stay.
+    Rows that repeat an id and a text count as one document, of which one row stays; an id may occur with different
+    texts. Rows without an id can't be told apart and stay.
+    """
+    found = _members(docs, id_col, text_col, radius, shingle, text_hash=True).select("doc_id", "h", "root")
+    return keep_one(docs, stored(found, "members"), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each component (doc_id, h, root of ``found``), the one of the smallest id and then text hash.
+
+    Rows are told apart by id and text, so an id that occurs with different texts loses only the texts that go. Rows
+    without an id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, radius, shingle)
-    # written first, so that the planner knows its size: texts are shuffled only if the ids that go are too many to broadcast
-    surplus = stored(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone")), "surplus")
-    kept = docs.join(surplus, docs[id_col] == surplus["gone"], "left_anti")
-    repeated = docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(id_col).count().where("count > 1")
-    if repeated.isEmpty():
+    known = found.where("doc_id is not null")
+    first = known.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    # only components of more than one row can lose any; written first, so that the planner knows its size: texts are
+    # shuffled only if the rows that go are too many to broadcast
+    gone = known.join(first, "root").where("doc_id <> first.doc_id or h <> first.h")
+    gone = stored(gone.select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h")).distinct(), "surplus")
+    key, h = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    kept = docs.join(gone, (docs[id_col] == gone["gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["gone_h"]), "left_anti")
+    if known.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         return kept
-    named = kept.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(f"`{id_col}`").isNull()))
+    # an id may be the first of several components: their texts differ
+    named = kept.where(key.isNotNull()).withColumn("_h", h).dropDuplicates([id_col, "_h"]).drop("_h")
+    return named.unionByName(kept.where(key.isNull()))

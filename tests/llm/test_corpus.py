@@ -189,6 +189,17 @@ def test_pipeline_drops_edited_copies(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
 
 
+@pytest.mark.parametrize("module", [neardup, overlap])
+def test_ids_with_different_texts(spark, module):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    rows_ = [(1, a), (5, a), (5, b), (7, c), (7, d), (7, c), (8, d), (None, a), (None, a)]
+    kept = module.keep_first(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3))
+    want = [(1, a), (5, b), (7, c), (7, d), (None, a), (None, a)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+
+
 def test_overlap_of_an_empty_table(spark):
     assert overlap.keep_first(frame(spark, [])).count() == 0
 
