@@ -10,7 +10,8 @@ partition, so the shuffle carries at most one row per shingle and partition). It
 ``block_bytes`` of text, so what is broadcast has a fixed bound however large the benchmark grows; each further block is
 another pass that carries the spans found so far.
 
-Null or empty texts have no words and no hits. Items without words are ignored; items of equal text all count. Repeated
+Null or empty texts have no words and no hits. Items without words are ignored; items of equal text all count.
+Items of null id have windows and hits like others and are only absent from the list of items. Repeated
 documents each keep their row. Other columns are not read. Empty tables give empty or hit-free results.
 """
 
@@ -41,13 +42,13 @@ def words(text: bytes) -> list[bytes]:
 class Windows:
     """Windows of a block of items, and which rarest shingles to probe for."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int, shingle: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int, shingle: int):
         self.vocab: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
             for i in range(max(1, len(ids) - size + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + size]), set()).add(item)
+                found.setdefault(tuple(ids[i : i + size]), set()).update(() if item is None else (item,))
         self.items = [sorted(x) for x in found.values()]
         self.length = np.array([len(w) for w in found], dtype=np.int64)
         self.words = np.zeros((len(found), size), dtype=np.int64)
@@ -215,7 +216,7 @@ def find_windows(
 def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """Items as blocks of about ``block_bytes`` of text."""
     wanted = items.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    wanted = wanted.where("item is not null and text is not null")
+    wanted = wanted.where("text is not null")
     n = -(-(wanted.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // block_bytes) or 1
     return [wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [wanted]
 

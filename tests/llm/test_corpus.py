@@ -74,6 +74,16 @@ def test_windows_against_brute_force(spark):
         assert sum(s.end - s.start for s in span.spans) == span.n_hit
 
 
+def test_items_without_an_id(spark):
+    rng = random.Random(3)
+    passage, named = prose(rng, 14), prose(rng, 12)
+    docs = frame(spark, [prose(rng, 30), prose(rng, 5) + " " + passage + " " + prose(rng, 5), named + " " + passage])
+    items = spark.createDataFrame([(None, passage), (9, named), (None, named)], "item_id long, text string")
+    got = rows(contamination.find_windows(docs, items), "doc_id", "n_hit", "items")
+    assert got == [(0, 0, []), (1, 14, []), (2, 26, ["9"])]
+    assert [r.doc_id for r in contamination.keep_clean(docs, items).collect()] == [0]
+
+
 def test_windows_of_empty_tables(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in contamination.find_windows(frame(spark, AWKWARD), empty).collect()} == {0}
