@@ -302,6 +302,14 @@ def agg_15(spark, d):
     return R.coverage(rows, wanted).select("seed", "id", "violation")
 
 
+@add("agg_15_whole")
+def agg_15_whole(spark, d):
+    """agg_15 over all parts; its SQL covers parts below 200 only."""
+    rows = A.table(spark, d, "lineitem").select(c("l_linenumber").alias("seed"), c("l_partkey").alias("id"), F.lit("t").alias("target_text"))
+    wanted = rows.where("id % 50 < 49").select("id", "target_text").distinct()
+    return R.coverage(rows, wanted).select("seed", "id", "violation")
+
+
 on(
     metrics, "agg_16", "SELECT event_type, round(avg(reward), 6) AS mean, round(median(reward), 6) AS median, round(sum(reward) / nullif(count(*) FILTER (reward > 50), 0), 6) AS ratio FROM metrics GROUP BY 1",
     ME, lambda m: m.groupBy("event_type").agg(R.mean(c("reward")).alias("mean"), R.median(c("reward")).alias("median"), F.round(F.try_divide(F.sum("reward"), F.count_if(c("reward") > 50)), 6).alias("ratio")),

@@ -372,3 +372,17 @@ def test_pool_text_and_errors(spark):
     assert [r.draw for r in got] == [1] and set(got[0].phrase) <= {"a", "b", " "} and len(got[0].phrase.split()) == 3
     good = {"targets": [{"name": "a", "revision": "0" * 40, "baseline": True}, {"name": "b", "revision": "1" * 40}], "seeds": [0, 3]}
     assert V.evaluation_errors(good) == [] and len(V.evaluation_errors({})) == 3
+
+
+def test_coverage_of_all_parts(spark):
+    from collections import Counter
+
+    from quillforge.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    n = Counter((r[0], r[1]) for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_linenumber", "l_partkey").collect())
+    wanted = {k for _, k in n if k % 50 < 49}
+    want = {(s, k, "missing") for s in {s for s, _ in n} for k in wanted if (s, k) not in n}
+    want |= {(s, k, "unknown" if k not in wanted else "duplicate") for (s, k), x in n.items() if k not in wanted or x > 1}
+    got = [tuple(r) for r in catalog.QUERIES["agg_15_whole"](spark, d).collect()]
+    assert max(k for _, k, _ in got) >= 200 and len(got) == len(want) and set(got) == want
