@@ -33,15 +33,29 @@ def subset(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
-def weighted_words(words: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
-    """A word for each draw (column draw), with replacement, by inverse cumulative weight; words are a bounded table."""
-    line = Window.orderBy("word")
-    reach = words.withColumn("_to", F.sum("weight").over(line)).withColumn("_from", F.col("_to") - F.col("weight"))
-    total = F.max("_to").over(Window.partitionBy())
-    reach = reach.withColumn("_t", total)
-    spun = draws.withColumn("_u", uniform(seed, F.col("draw")))
-    hit = (F.col("_u") * F.col("_t") >= F.col("_from")) & (F.col("_u") * F.col("_t") < F.col("_to"))
-    return spun.join(F.broadcast(reach.select("word", "_from", "_to", "_t")), hit).select("draw", "word")
+def weighted_words(words: DataFrame, draws: DataFrame, seed: int, ranges: int = 4096) -> DataFrame:
+    """A word for each draw (column draw), with replacement, by inverse cumulative weight over all words.
+
+    Words are dealt into ranges by hash. A draw falls into a range by the ranges' totals, which are a bounded table, and
+    then meets the words of that range only. Words of no weight are never drawn.
+    """
+    dealt = words.where("weight > 0").select("word", "weight", F.pmod(F.xxhash64("word"), F.lit(ranges)).alias("_r"))
+    inside = Window.partitionBy("_r").orderBy("word")
+    reach = dealt.withColumn("_to", F.sum("weight").over(inside)).withColumn("_from", F.col("_to") - F.col("weight"))
+    last = F.row_number().over(Window.partitionBy("_r").orderBy(F.desc("word"))) == 1
+    reach = reach.withColumn("_last", last).select("word", "_r", "_from", "_to", "_last")
+    line = Window.orderBy("_r")
+    totals = dealt.groupBy("_r").agg(F.sum("weight").alias("_w")).withColumn("_end", F.sum("_w").over(line))
+    totals = totals.select(F.col("_r").alias("_range"), (F.col("_end") - F.col("_w")).alias("_begin"), "_end", F.max("_end").over(Window.partitionBy()).alias("_t"))
+    # two hashes, as one alone has too few values for words of a tiny share
+    u = uniform(seed, F.col("draw")) + uniform(seed, F.col("draw"), F.lit("fine")) / float(1 << 30)
+    spun = draws.withColumn("_u", u)
+    at = F.col("_u") * F.col("_t")
+    spun = spun.join(F.broadcast(totals), (at >= F.col("_begin")) & (at < F.col("_end")))
+    spun = spun.select("draw", "_range", (at - F.col("_begin")).alias("_at"))
+    # sums of fractions may differ in their last digit between range and words: the last word takes what is left
+    hit = (F.col("_range") == F.col("_r")) & (F.col("_at") >= F.col("_from")) & ((F.col("_at") < F.col("_to")) | F.col("_last"))
+    return spun.join(reach, hit).select("draw", "word")
 
 
 def batches_by_shape(rows: DataFrame, size: int, seed: int, epoch: int) -> DataFrame:

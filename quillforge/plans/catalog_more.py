@@ -334,8 +334,7 @@ on(prompts, "ord_10", "SELECT content_type AS shape, count(*) // 16 AS batches F
 
 def _words_of(p):
     words = p.select(F.explode(F.split(F.lower("target_text"), "\\s+")).alias("word")).where("word <> ''")
-    top = words.groupBy("word").agg(F.count("*").cast("double").alias("weight")).orderBy(F.desc("weight"), "word").limit(2000)
-    return top
+    return words.groupBy("word").agg(F.count("*").cast("double").alias("weight"))
 
 
 # ---------------------------------------------------------------- scans and sinks, through files of their own format

@@ -386,3 +386,16 @@ def test_coverage_of_all_parts(spark):
     want |= {(s, k, "unknown" if k not in wanted else "duplicate") for (s, k), x in n.items() if k not in wanted or x > 1}
     got = [tuple(r) for r in catalog.QUERIES["agg_15_whole"](spark, d).collect()]
     assert max(k for _, k, _ in got) >= 200 and len(got) == len(want) and set(got) == want
+
+
+def test_rare_words_are_drawn(spark):
+    from quillforge.plans import catalog_more
+
+    text = " ".join(f"w{k} " * (2 if k < 2000 else 1) for k in range(6000))
+    words = catalog_more._words_of(spark.createDataFrame([(text,)], "target_text string"))
+    draws = spark.range(40_000).withColumnRenamed("id", "draw")
+    got = prompts.weighted_words(words, draws, 3).groupBy("word").count().collect()
+    n = {r["word"]: r["count"] for r in got}
+    assert sum(n.values()) == 40_000
+    rare = sum(x for w, x in n.items() if int(w[1:]) >= 2000)
+    assert abs(rare / 40_000 - 0.5) < 0.02 and len(n) > 5900
