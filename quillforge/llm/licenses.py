@@ -3,7 +3,9 @@
 Lines that speak of a licence (a header) and whole short texts (a licence file) become sparse vectors of words and word
 pairs, weighted by inverse document frequency over the templates; the template of the highest cosine names the licence if
 the cosine passes a threshold. Words that no template has weigh as much as the rarest that one has, so ordinary prose
-drowns a match. A text whose whole vector passes is a licence file of its directory.
+drowns a match. A text whose whole vector passes is a licence file of its directory, whatever its length; it is compared
+with notices and with whole licences (``license_texts``), header lines with notices and SPDX identifiers. Each of the three
+sets of templates has its own weights. The Creative Commons licences but CC0 have no whole text here, only notices.
 
 Files without a licence of their own take that of the licence file in the nearest ancestor directory: distinct directories
 are joined to the licence directories by each of their ancestor paths, the deepest match wins, and files join their
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +63,8 @@ TEMPLATES: dict[str, list[str]] = {
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+SUFFIXES = {"GPL-3.0": ("", "-only", "-or-later"), "GPL-2.0": ("", "-only", "-or-later"), "LGPL-3.0": ("", "-only", "-or-later")}
+SPDX = {name: [f"SPDX-License-Identifier: {name}{x}" for x in SUFFIXES.get(name, ("",))] for name in TEMPLATES}
 SPEAKS = re.compile(r"licen[sc]e|spdx|public domain|permission is hereby granted|redistribution and use", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
 
@@ -97,7 +102,18 @@ class Templates:
         return self.names[top], dots[top] / norm
 
 
-def header(text: str, templates: Templates) -> tuple[str | None, float]:
+def whole_texts() -> dict[str, list[str]]:
+    """Licences in full, by name."""
+    folder = resources.files(__package__) / "license_texts"
+    return {f.name.removesuffix(".txt"): [f.read_text("utf-8")] for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+def best_of(line: str, sets: tuple[Templates, ...]) -> tuple[str | None, float]:
+    """The best match over several sets of templates, the first of equal ones."""
+    return max((t.best(line) for t in sets), key=lambda found: found[1])
+
+
+def header(text: str, *sets: Templates) -> tuple[str | None, float]:
     """The best match of any line, or pair of lines, that speaks of a licence."""
     best: tuple[str | None, float] = (None, 0.0)
     if not SPEAKS.search(text):
@@ -106,7 +122,7 @@ def header(text: str, templates: Templates) -> tuple[str | None, float]:
     for k, line in enumerate(lines):
         if SPEAKS.search(line):
             for part in (line, *re.split(r"(?<=[.!?])\s+", line), " ".join(lines[max(0, k - 1) : k + 2])):
-                found = templates.best(part)
+                found = best_of(part, sets)
                 if found[1] > best[1]:
                     best = found
     return best
@@ -119,14 +135,13 @@ def scan(
     id_col: str = "doc_id",
     threshold: float = 0.6,
     file_threshold: float = 0.5,
-    file_words: int = 4000,
 ) -> DataFrame:
     """doc_id, path, license, similarity, evidence (file, header, inherited or none), license_dir it comes from."""
     small_batches(files.sparkSession)
     frame = files.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
-    templates = Templates()
+    notices, wholes, spdx = Templates(), Templates(whole_texts()), Templates(SPDX)
 
     def run(it):
         for batch in batches(it):
@@ -134,11 +149,10 @@ def scan(
             for text in texts(batch):
                 name, cosine, evidence = None, 0.0, "none"
                 if SPEAKS.search(text):
-                    if text.count(" ") <= file_words:
-                        name, cosine = templates.best(text)
-                        evidence = "file" if cosine >= file_threshold else "none"
+                    name, cosine = best_of(text, (notices, wholes))
+                    evidence = "file" if cosine >= file_threshold else "none"
                     if evidence == "none":
-                        name, cosine = header(text, templates)
+                        name, cosine = header(text, notices, spdx)
                         evidence = "header" if cosine >= threshold else "none"
                 rows.append((name, cosine, evidence) if evidence != "none" else (None, cosine, "none"))
             cols = list(zip(*rows, strict=True))
