@@ -325,7 +325,7 @@ on(scores, "ord_01", "SELECT id, version FROM score_rows WHERE score >= 0.8 ORDE
 on(scores, "ord_02", "SELECT version AS seed, id FROM score_rows ORDER BY 1, 2", SR, lambda r: r.select(c("version").alias("seed"), "id").orderBy("seed", "id"))
 on(scores, "ord_03", "SELECT id, version FROM score_rows ORDER BY 1, 2", SR, lambda r: r.select("id", "version").orderBy("id", "version"))
 on(prompts, "ord_05", "SELECT target_text, count(*) AS count FROM prompts GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 5", PR, lambda p: S.duplicates(p, "target_text").orderBy("target_text").limit(5))
-on(prompts, "ord_06", None, PR, lambda p: P.weighted_words(_words_of(p), p.select(c("id").alias("draw")), 7))
+add("ord_06")(lambda s, d: P.weighted_words(_words_of(A.table(s, d, "documents").select(c("text").alias("target_text"))), prompts(s, d).select(c("id").alias("draw")), 7))
 on(prompts, "ord_07", None, PR, lambda p: p.select("id", P.categorical(P.uniform(1, c("id")), {"ru": 0.8, "en": 0.2}).alias("lang")))
 on(prompts, "ord_08", None, PR, lambda p: p.select("id", P.choice(["bold", "thin", "neon"], 3, c("id")).alias("effect")))
 on(prompts, "ord_09", None, PR, lambda p: P.subset(p.select("id"), 50, 11, "id"))

@@ -399,3 +399,12 @@ def test_rare_words_are_drawn(spark):
     assert sum(n.values()) == 40_000
     rare = sum(x for w, x in n.items() if int(w[1:]) >= 2000)
     assert abs(rare / 40_000 - 0.5) < 0.02 and len(n) > 5900
+
+
+def test_words_of_later_lines_are_drawn(spark, tmp_path):
+    from quillforge.plans import catalog, catalog_more
+
+    assert catalog_more
+    docs = spark.createDataFrame([(k, "one\ntwo three", "en", "s", 13) for k in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.word for r in catalog.QUERIES["ord_06"](spark, str(tmp_path)).collect()} == {"one", "two", "three"}
