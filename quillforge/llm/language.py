@@ -114,17 +114,23 @@ def fit(
 ) -> Profiles:
     """Learn from a bounded sample; the caller has taken out documents that must not be learnt from.
 
-    Of more than ``max_languages`` languages the most frequent are learnt. A cut-off on hashes, from the counts of each
-    language, leaves about twice ``max_docs`` documents a language before any text is moved.
+    Of more than ``max_languages`` languages the most frequent are learnt. A cut-off on hashes, from the number of
+    distinct texts of each language that may be learnt from, leaves about twice ``max_docs`` documents a language before
+    any text is moved. A language without texts of at most ``max_chars`` learns from the beginnings of its long ones.
     """
     spark = docs.sparkSession
     small_batches(spark)
     frame = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     frame = frame.where("lang is not null and text is not null")
-    counts = frame.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    share = spark.createDataFrame([(r["lang"], 2.0 * max_docs / r["count"]) for r in counts], "lang string, share double")
-    h = F.xxhash64("text", "lang")
-    near = frame.where(F.length("text") <= max_chars).withColumn("h", h).join(F.broadcast(share), "lang")
+    h, short = F.xxhash64("text", "lang"), F.length("text") <= max_chars
+    counts = frame.groupBy("lang").agg(
+        F.count("*").alias("count"), F.approx_count_distinct(F.when(short, h)).alias("n_short"), F.approx_count_distinct(h).alias("n")
+    )
+    counts = counts.orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    share = [(r["lang"], 2.0 * max_docs / (r["n_short"] or r["n"]), r["n_short"] > 0) for r in counts]
+    share = spark.createDataFrame(share, "lang string, share double, has_short boolean")
+    near = frame.withColumn("h", h).join(F.broadcast(share), "lang").where(short | ~F.col("has_short"))
+    near = near.withColumn("text", F.substring("text", 1, max_chars))
     near = near.where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("share")).dropDuplicates(["h", "lang"])
     first = Window.partitionBy("lang").orderBy("h")
     kept = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_docs)

@@ -396,6 +396,17 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in language.classify(docs, language.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_every_language_gets_a_profile(spark):
+    rng = random.Random(11)
+    vocab = {f"l{k}": [prose(rng, 1) for _ in range(30)] for k in range(8)}
+    copied = [(prose(rng, 20, v), name) for name, v in vocab.items()]
+    docs = spark.createDataFrame(copied, "text string, lang string").crossJoin(spark.range(3000)).drop("id")
+    long = [(prose(rng, 6000, vocab["l0"]), "long") for _ in range(3)]
+    assert all(len(t) > 20_000 for t, _ in long)
+    got = language.fit(docs.union(spark.createDataFrame(long, "text string, lang string")))
+    assert got.names == sorted([*vocab, "long"])
+
+
 def test_language_profiles_rank_by_count():
     assert language.most_frequent(np.array([5, 5, 9, 9, 9, 1], dtype=np.uint64), 2).tolist() == [9, 5]
     assert len(language.grams("ab c")) == 3 + 5 + 3
