@@ -29,25 +29,29 @@ from pyspark.sql import functions as F
 from .common import batches, raw_texts, small_batches, spread, stored, two
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """A bit is set if it is set in over half of the shingles' XXH64 values, repeats included."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 values of the shingles of lower-cased words, repeats included; fewer words are one shingle."""
     ws = text.lower().split()
     if not ws:
-        return 0
-    n = len(ws) - shingle + 1
-    if n <= 1:
-        return xxhash.xxh64_intdigest(b" ".join(ws), seed)
-    line, digest = b" ".join(ws), xxhash.xxh64_intdigest
+        return np.empty(0, dtype="<u8")
+    n, line, digest = max(1, len(ws) - shingle + 1), b" ".join(ws), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
-    begins = [0, *ends[: n - 1].tolist()]
-    h = np.fromiter(
-        (digest(line[a:b], seed) for a, b in zip(begins, (ends[shingle - 1 :] - 1).tolist(), strict=True)), "<u8", n
-    )
+    begins, ends = [0, *ends[: n - 1].tolist()], (ends[min(shingle, len(ws)) - 1 :] - 1).tolist()
+    return np.fromiter((digest(line[a:b], seed) for a, b in zip(begins, ends, strict=True)), "<u8", n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The value of which a bit is set if it is set in over half of the hashes; zero for none."""
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 1 << 16):
+    for k in range(0, len(h), 1 << 16):
         part = h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """A bit is set if it is set in over half of the shingles' XXH64 values, repeats included."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, text_hash: bool = False) -> DataFrame:
@@ -171,7 +175,6 @@ def links(classes: DataFrame, radius: int = 2, n_pivots: int = 16, tile: int = 1
         ).alias("tile"),
     )
     ordered = dealt.repartition("mask", "part", "tile").sortWithinPartitions("mask", "part", "tile")
-    small_batches(classes.sparkSession, 10_000)
     return ordered.mapInArrow(_search(radius, n_pivots), "a long, b long")
 
 
