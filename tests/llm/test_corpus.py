@@ -459,6 +459,26 @@ def test_pieces_equal_the_library(spark):
     assert [t for _, t in back] == [t or "" for t in texts]
 
 
+def test_pieces_of_texts_without_spaces():
+    """Cut points, joined windows, and the heap for what windows can't join, on up to a megabyte."""
+    file = queries.tokenizer_file("piece_bpe_32k.model")
+    own, lib, rng = pieces.PieceCodec(file), sentencepiece.SentencePieceProcessor(model_file=file), random.Random(5)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(50_000))
+    for text in (letters, han, "x" * 40_000, "=" * 3001, "ab" * 9000, "theaaab" * 4001, "é😀" * 3000, "word" * 200 + " " + "y" * 700):
+        ids = np.frombuffer(own.encode([text])[0], "<u4")
+        assert ids.tolist() == lib.encode(text) and own.decode(ids.astype(np.int64)) == text
+    assert not any(len(w) > pieces.KEPT for w in own.words)
+    for word in ("x" * 700, letters[:900], "theaaab" * 100):
+        assert own._ids(word, *own._merged(word)) == own.segment({word})[word]
+
+
+def test_a_model_that_merges_otherwise_is_refused(monkeypatch):
+    monkeypatch.setattr(pieces.PieceCodec, "encode", lambda self, lines: [b"" for _ in lines])
+    with pytest.raises(ValueError):
+        pieces.PieceCodec(queries.tokenizer_file("piece_bpe_32k.model"))
+
+
 def test_pair_check_equals_merging():
     own = pieces.codec(queries.tokenizer_file("piece_bpe_32k.model"))
     rng = random.Random(1)
