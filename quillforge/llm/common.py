@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is made once per application.
+    Where a session on one machine names none (tests), a temporary folder is made once per application; on a cluster that
+    is an error, as executors could not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="quillforge-")
@@ -36,15 +39,18 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write the frame into the shared folder and read it back."""
+def stored(df: DataFrame, what: str, compact: bool = False) -> DataFrame:
+    """Cut the lineage: write the frame into the shared folder and read it back.
+
+    ``compact`` is for results much smaller than what they come from: they move once more, into files of a sensible size.
+    """
     spark, path = df.sparkSession, fresh(df.sparkSession, what)
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as single documents may be long."""
+    """Bound the rows of an Arrow batch, as single documents may be long (a session setting: it is read when a plan runs)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:

@@ -6,9 +6,10 @@ are probed for prefix shingles alone; the offset of the shingle in its window an
 window may lie; what is left is compared word by word over the item-sized window.
 
 Rarity is the number of documents with a shingle, counted over all documents in a first pass (partial counts per
-partition, so the shuffle carries at most one row per shingle and partition). Items are taken in blocks of at most
-``block_bytes`` of text, so what is broadcast has a fixed bound however large the benchmark grows; each further block is
-another pass that carries the spans found so far.
+partition, so the shuffle carries at most one row per shingle and partition). Items are taken in blocks of about
+``block_bytes`` of text. A block's index is arrays over its words (a window is a place in them, its prefix one code), some
+50 bytes a word, so what is broadcast has a fixed bound however large the benchmark grows; each further block is another
+pass that carries the spans found so far. Only a single item larger than a block makes a larger one.
 
 Null or empty texts have no words and no hits. Items without words are ignored; items of equal text all count.
 Items of null id have windows and hits like others and are only absent from the list of items. Repeated
@@ -40,40 +41,59 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """Windows of a block of items, and which rarest shingles to probe for."""
+    """Distinct windows of a block of items as places in one array of word ids, and which rarest shingles to probe for."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], size: int, shingle: int):
-        self.vocab: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[bytes, set[str]] = {}
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - size + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + size]), set()).update(() if item is None else (item,))
-        self.items = [sorted(x) for x in found.values()]
-        self.length = np.array([len(w) for w in found], dtype=np.int64)
-        self.words = np.zeros((len(found), size), dtype=np.int64)
-        for k, w in enumerate(found):
-            self.words[k, : len(w)] = w
-        rows = []
-        self.shingles = sorted({min(shingle, len(w)) for w in found})
-        for k in range(len(found)):
-            w = self.words[k, : self.length[k]]
-            codes = shingle_codes(w, min(shingle, len(w)))
-            rows += [(int(c), k, off) for off, c in enumerate(codes)]
-        self.rows = np.array(rows, dtype=[("code", "u8"), ("window", "i8"), ("offset", "i8")])
-        self.codes = np.unique(self.rows["code"])
+            owners.setdefault(text, set()).update(() if item is None else (item,))
+        self.vocab: dict[bytes, int] = {}
+        self.size, self.names = size, [sorted(x) for x in owners.values()]
+        flat, starts, lengths, owner = [], [], [], []
+        at = 0
+        for k, text in enumerate(owners):
+            ids = np.fromiter((self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)), np.int32)
+            n = max(1, len(ids) - size + 1) if len(ids) else 0
+            flat += [ids, np.zeros(size, np.int32)]
+            starts.append(np.arange(at, at + n, dtype=np.int64))
+            lengths.append(np.full(n, min(size, len(ids)), dtype=np.int64))
+            owner.append(np.full(n, k, dtype=np.int64))
+            at += len(ids) + size
+        self.flat = np.concatenate([*flat, np.zeros(size, np.int32)])
+        start, length, owner = (np.concatenate([np.empty(0, np.int64), *x]) for x in (starts, lengths, owner))
+        # equal windows become one, with all the items that hold it
+        cells = np.where(np.arange(size) < length[:, None], self.flat[start[:, None] + np.arange(size)], 0)
+        _, first, same = np.unique(np.ascontiguousarray(cells).view(f"V{4 * size}").ravel(), return_index=True, return_inverse=True)
+        self.start, self.length = start[first], length[first]
+        pairs = np.unique(np.stack((same.ravel(), owner), axis=1), axis=0)
+        self.owner, self.owner_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        self.step = np.minimum(shingle, self.length)  # words of a window's shingles
+        self.shingles = np.unique(self.step).tolist()
+        self.codes = np.unique(np.concatenate([np.empty(0, np.uint64), *[c for _, _, c in self._codes()]]))
+
+    def _codes(self) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Windows that have a shingle at an offset, the offset, and the shingles' codes."""
+        for s in self.shingles:
+            for offset in range(self.size - s + 1):
+                some = np.flatnonzero((self.step == s) & (offset + s <= self.length))
+                if len(some):
+                    yield some, offset, shingle_codes(self.flat, s, self.start[some] + offset)
+
+    def items(self, window: int) -> list[str]:
+        return [i for k in self.owner[self.owner_at[window] : self.owner_at[window + 1]] for i in self.names[k]]
 
     def prefix(self, counts: np.ndarray) -> None:
         """Keep the rarest shingle of each window; windows with a shingle that no document has are dropped."""
-        at = np.searchsorted(self.codes, self.rows["code"])
-        order = np.lexsort((self.rows["offset"], self.rows["code"], counts[at], self.rows["window"]))
-        rows, n = self.rows[order], counts[at][order]
-        first = np.ones(len(rows), dtype=bool)
-        first[1:] = rows["window"][1:] != rows["window"][:-1]
-        rows = rows[first & (n > 0)]
-        rows = rows[np.argsort(rows["code"], kind="stable")]
-        self.codes, starts = np.unique(rows["code"], return_index=True)
-        self.starts, self.rows = np.append(starts, len(rows)), rows
+        rarest = np.full(len(self.start), np.iinfo(np.int64).max)
+        code, offsets = np.zeros(len(rarest), np.uint64), np.zeros(len(rarest), np.int64)
+        for some, offset, codes in self._codes():
+            n = counts[np.searchsorted(self.codes, codes)]
+            less = n < rarest[some]
+            rarest[some[less]], code[some[less]], offsets[some[less]] = n[less], codes[less], offset
+        window = np.flatnonzero(rarest > 0)
+        window = window[np.argsort(code[window], kind="stable")]
+        self.codes, starts = np.unique(code[window], return_index=True)
+        self.starts, self.window, self.offset = np.append(starts, len(window)), window, offsets[window]
 
     def ids(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of all documents with a 0 after each, and where each document starts."""
@@ -103,19 +123,19 @@ class Windows:
 
     def occurrences(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Where windows begin, and which: candidates from prefix shingles, bounded by position and length, verified."""
-        size = self.words.shape[1]
+        size = self.size
         padded = np.append(ids, np.zeros(size, np.int64))
         for pos, at in self.probe(ids):
             n = self.starts[at + 1] - self.starts[at]
             row = np.repeat(self.starts[at] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-            window, start = self.rows["window"][row], np.repeat(pos, n) - self.rows["offset"][row]
+            window, start = self.window[row], np.repeat(pos, n) - self.offset[row]
             doc = np.searchsorted(starts, np.repeat(pos, n), side="right") - 1
             fits = (start >= starts[doc]) & (start + self.length[window] <= starts[doc + 1] - 1)
             window, start = window[fits], start[fits]
-            cells = padded[start[:, None] + np.arange(size)]
-            inside = np.arange(size) < self.length[window][:, None]
-            same = ((cells == self.words[window]) | ~inside).all(axis=1)
-            yield start[same], window[same]
+            for word in range(size):  # word by word, so that most candidates are out after one or two
+                same = (word >= self.length[window]) | (padded[start + word] == self.flat[self.start[window] + word])
+                start, window = start[same], window[same]
+            yield start, window
 
 
 def shingle_codes(ids: np.ndarray, s: int, pos: np.ndarray | None = None) -> np.ndarray:
@@ -169,7 +189,7 @@ def _match(windows: Windows, doc_type: pa.DataType) -> Callable:
                 k = int(np.searchsorted(starts, a, side="right") - 1)
                 spans[k].append({"start": int(a - starts[k]), "end": int(b - starts[k])})
             for a, w in zip(begin, which, strict=True):
-                items[int(np.searchsorted(starts, a, side="right") - 1)].update(windows.items[w])
+                items[int(np.searchsorted(starts, a, side="right") - 1)].update(windows.items(w))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(doc_type),
@@ -194,7 +214,7 @@ def find_windows(
     item_text_col: str = "text",
     size: int = 10,
     shingle: int = 5,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 2 << 20,
 ) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids of items with a window in the document), spans (word positions)."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -216,7 +236,7 @@ def find_windows(
 def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """Items as blocks of about ``block_bytes`` of text."""
     wanted = items.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    wanted = wanted.where("text is not null")
+    wanted = wanted.where("text is not null").distinct()
     n = -(-(wanted.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // block_bytes) or 1
     return [wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [wanted]
 
@@ -240,7 +260,7 @@ def keep_clean(
     item_text_col: str = "text",
     size: int = 10,
     shingle: int = 5,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Rows that hold no window of any item, with all their columns."""
     every = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -4,12 +4,14 @@
 ``archive_bytes``. Tasks write archives under names of their own and report them; only reported archives are listed in the
 manifest, so an attempt that was lost leaves nothing that is read.
 
-``ArchiveSource`` (format ``media_archive``) plans on the driver: each archive of the manifest is cut into byte ranges.
-A task reads the archive's directory, takes the members whose headers begin in its range, fetches each by its own offset,
-and tries a member again by itself if reading or checking it fails. Payload batches stream to Spark through Arrow.
-
-Null and empty payloads become 64 zero bytes. Equal payloads have equal media bytes. Keys may be null or repeat. Other
-columns are not read. Empty tables give an empty manifest and no rows.
+``ArchiveSource`` (format ``media_archive``) plans on the driver: each archive of the manifest is cut into byte ranges, and
+ranges are packed into partitions; more bytes make larger partitions once there are ``maxpartitions``. A task reads an
+archive's directory, takes the members whose headers begin in its range, fetches each by its own offset, and tries a member
+again by itself if reading or checking it fails; opening an archive and reading its directory are tried again too. Payload
+batches stream to Spark through Arrow.
+
+Null and empty payloads become 64 zero bytes. Equal payloads have equal media bytes. Keys may be null or repeat and have
+any length. Other columns are not read, whatever their names. Empty tables give an empty manifest and no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import struct
 import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .common import batches, fresh, raw_texts, small_batches, two
 
 WIDTH = 64
+T = TypeVar("T")
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -111,9 +115,11 @@ def read_directory(file: pa.NativeFile) -> list[tuple[bytes, int, int, int]]:
     file.seek(size - 22)
     sign, _, _, _, n, length, at, _ = struct.unpack("<4sHHHHIIH", file.read(22))
     if sign != b"PK\x05\x06":
-        raise ValueError("the archive has no directory")
+        raise OSError("the archive has no directory")
     file.seek(at)
     raw, out, k = file.read(length), [], 0
+    if len(raw) != length:
+        raise OSError("the archive's directory is cut off")
     for _ in range(n):
         crc, packed, _, name_len, extra, note = struct.unpack_from("<IIIHHH", raw, k + 16)
         offset = struct.unpack_from("<I", raw, k + 42)[0]
@@ -122,32 +128,54 @@ def read_directory(file: pa.NativeFile) -> list[tuple[bytes, int, int, int]]:
     return out
 
 
-def read_member(where: fs.FileSystem, path: str, file: pa.NativeFile, member: tuple, tries: int, wait: float) -> tuple[bytes, pa.NativeFile]:
-    """One member by its offset; a failure reopens the archive and repeats this member alone."""
-    name, offset, size, crc = member
-    for k in range(tries):
+def again(work: Callable[[], T], tries: int, wait: float) -> T:
+    """What the work returns; reading that fails is tried again after a growing wait."""
+    for k in range(tries - 1):
         try:
-            file.seek(offset)
-            head = file.read(30)
-            if head[:4] != b"PK\x03\x04":
-                raise OSError(f"no member at {offset}")
-            skip = sum(struct.unpack_from("<HH", head, 26))
-            data = file.read(skip + size)[skip:]
-            if zlib.crc32(data) != crc or len(data) != size:
-                raise OSError(f"the member at {offset} is damaged")
-            return data, file
+            return work()
         except (OSError, pa.ArrowException):
-            if k + 1 == tries:
-                raise
             time.sleep(wait * 2**k)
-            file = where.open_input_file(path)
-    raise AssertionError(name)
+    return work()
+
+
+def open_archive(where: fs.FileSystem, path: str, tries: int, wait: float) -> tuple[pa.NativeFile, list[tuple[bytes, int, int, int]]]:
+    """An archive and its directory."""
+
+    def work():
+        file = where.open_input_file(path)
+        return file, read_directory(file)
+
+    return again(work, tries, wait)
+
+
+def read_member(where: fs.FileSystem, path: str, file: pa.NativeFile, member: tuple, tries: int, wait: float) -> tuple[bytes, pa.NativeFile]:
+    """One member by its offset; a failure reopens the archive and repeats this member alone."""
+    _, offset, size, crc = member
+    held = [file]
+
+    def work():
+        if not held:
+            held.append(where.open_input_file(path))
+        now = held.pop()
+        now.seek(offset)
+        head = now.read(30)
+        if head[:4] != b"PK\x03\x04":
+            raise OSError(f"no member at {offset}")
+        skip = sum(struct.unpack_from("<HH", head, 26))
+        data = now.read(skip + size)[skip:]
+        if zlib.crc32(data) != crc or len(data) != size:
+            raise OSError(f"the member at {offset} is damaged")
+        return data, now
+
+    return again(work, tries, wait)
+
 
+class _Ranges(InputPartition):
+    """Byte ranges (archive, begin, end) that one task reads."""
 
-class _Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        super().__init__((path, begin, end))
-        self.path, self.begin, self.end = path, begin, end
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        super().__init__(ranges)
+        self.ranges = ranges
 
 
 class ArchiveSource(DataSource):
@@ -170,30 +198,40 @@ class ArchiveReader(DataSourceReader):
         self.range_bytes = int(options.get("rangebytes", 8 << 20))
         self.tries, self.wait = int(options.get("tries", 4)), float(options.get("wait", 0.1))
         self.batch_bytes = int(options.get("batchbytes", 4 << 20))
+        self.max_partitions = int(options.get("maxpartitions", 100_000))
 
     def partitions(self) -> list[InputPartition]:
         where, path = fs.FileSystem.from_uri(self.manifest)
-        listed = pq.read_table(path, filesystem=where, columns=["archive", "directory"]).to_pylist()
-        return [
-            _Range(r["archive"], at, min(at + self.range_bytes, r["directory"]))
-            for r in sorted(listed, key=lambda r: r["archive"])
-            for at in range(0, r["directory"], self.range_bytes)
-        ] or [_Range("", 0, 0)]
-
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        where, path = fs.FileSystem.from_uri(partition.path)
-        file, rows, size = where.open_input_file(path), [], 0
-        for member in read_directory(file):
-            if partition.begin <= member[1] < partition.end:
-                data, file = read_member(where, path, file, member, self.tries, self.wait)
-                n, _, key = member[0].decode().partition(":")
-                rows.append((key[1:] if key else None, int(n), partition.path, member[1], data))
-                size += len(data)
-                if size >= self.batch_bytes:
-                    yield _rows(rows)
-                    rows, size = [], 0
+        listed = pq.read_table(path, filesystem=where, columns=["archive", "directory"]).sort_by("archive").to_pydict()
+        most = max(self.range_bytes, -(-sum(listed["directory"]) // self.max_partitions))
+        out, held = [_Ranges([])], 0
+        for archive, end in zip(listed["archive"], listed["directory"], strict=True):
+            for at in range(0, end, most):
+                part = min(most, end - at)
+                if held and held + part > most:
+                    out.append(_Ranges([]))
+                    held = 0
+                out[-1].ranges.append((archive, at, at + part))
+                held += part
+        return out
+
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for uri, begin, end in partition.ranges:
+            where, path = fs.FileSystem.from_uri(uri)
+            file, members = open_archive(where, path, self.tries, self.wait)
+            for member in members:
+                if begin <= member[1] < end:
+                    data, file = read_member(where, path, file, member, self.tries, self.wait)
+                    n, _, key = member[0].decode().partition(":")
+                    if key.startswith("K"):  # a key too long for a member's name stands before the image
+                        cut = int(key[1:])
+                        key, data = "k" + data[:cut].decode(), data[cut:]
+                    rows.append((key[1:] if key else None, int(n), uri, member[1], data))
+                    size += len(data)
+                    if size >= self.batch_bytes:
+                        yield _rows(rows)
+                        rows, size = [], 0
         if rows:
             yield _rows(rows)
 
@@ -228,7 +266,11 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     name = f"{uuid.uuid4().hex}.zip"
                     out = ArchiveWriter(where, f"{base}/{name}")
                 # the byte count before padding travels in the member's name
-                out.add(f"{len(text)}:".encode() if key is None else f"{len(text)}:k{key}".encode(), to_png(to_payload(text), level))
+                name_, data = f"{len(text)}:" + ("" if key is None else f"k{key}"), to_png(to_payload(text), level)
+                if len(name_) > 10_000:
+                    long = str(key).encode()
+                    name_, data = f"{len(text)}:K{len(long)}", long + data
+                out.add(name_.encode(), data)
                 if out.at >= archive_bytes or out.n >= 60_000:
                     close()
                     out = None

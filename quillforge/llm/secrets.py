@@ -10,7 +10,9 @@ Both chains are trained from labelled samples: random strings (pattern matches o
 over usual key alphabets) against ordinary identifiers (other words of the corpus sample). The corpus sample is bounded
 by ``max_docs`` documents of the smallest hashes; scanning covers whole texts.
 
-Null and empty texts have no spans. Repeated rows keep their rows. Other columns are not read.
+Null and empty texts have no spans. Repeated rows keep their rows, and an empty table gives none (without documents the
+chains know generated strings and a few shapes of names only). Of spans that begin together the kind listed first comes
+first; a run exactly at a threshold is a span. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def key_runs(line: bytes, least: int) -> list[tuple[int, int]]:
 
 
 def patterns(line: bytes, runs: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Pattern spans; ``runs`` are the key runs of 16 or more, in which access keys and hex runs must lie."""
+    """Pattern spans; ``runs`` are the key runs of 16 or more (at least those), in which access keys and hex runs must lie."""
     found: list[tuple[str, int, int]] = []
     low, starts = line.lower(), []
     for stem in STEMS:
@@ -135,13 +137,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
     """Train on at most ``max_docs`` documents of at most ``max_chars`` characters, those of the smallest hashes."""
     frame = two(docs, id_col, text_col)
     short = frame.where(F.length("text") <= max_chars)
-    rows = lowest_hashes(short, F.struct("doc_id", "text"), max_docs, total=frame.count())
+    rows = lowest_hashes(short, F.struct("doc_id", "text"), max_docs)
     return fit_texts(x or "" for x in rows.select("text").toArrow()["text"].to_pylist())
 
 
 def spans_of(text: str, model: MarkovRatio, min_length: int, least_mean: float, least_total: float) -> list[tuple[str, int, int]]:
     line = one_byte(text)
-    runs = key_runs(line, 16)
+    runs = key_runs(line, min(16, min_length))
     found = patterns(line, runs)
     more = []
     for a, b in runs:

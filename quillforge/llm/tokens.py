@@ -95,6 +95,9 @@ class SplitEncoder:
         self.splits = _Splits(self.lib)
         self.chunks = _Chunks(self.splits)
         self.keep = keep
+        for text in (SAMPLE, SAMPLE.replace("<", " "), " " + SAMPLE.upper()):
+            if np.frombuffer(self.one(text), "<u4").tolist() != self.lib.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"{tokenizer_file}: splits or merges in another way than this encoder")
 
     def one(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -121,40 +124,36 @@ def encoder(tokenizer_file: str) -> SplitEncoder:
     return SplitEncoder(tokenizer_file)
 
 
-def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 6, least: int = 32, per_round: int = 4096):
+def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 16):
     """Rules (pairs of symbols), the compressed sequence, and where its documents end.
 
-    ``ends`` are positions one past each document's last id.
+    Rounds go on until no pair of neighbours occurs ``least`` times, at which a rule no longer pays for itself; symbols may
+    have any 32-bit value. ``ends`` are positions one past each document's last id.
     """
     last = np.zeros(len(seq), dtype=bool)
     last[ends - 1] = True
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     total = first_rule
-    for _ in range(rounds):
-        per_round = min(per_round, (1 << 16) - total)
-        if len(seq) < 2 or per_round <= 0 or seq.max() >= 1 << 16:
-            break
-        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
+    while len(seq) > 1:
         # hashed counts bound a pair's count from above; only pairs in full enough buckets are counted exactly
-        bucket = ((pair * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.intp)
+        bucket = _pair_hash(seq[:-1], seq[1:])
         full = np.bincount(bucket, minlength=1 << 18) >= least
         at = np.flatnonzero(full[bucket] & ~last[:-1])
-        some = pair[at]
+        some = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         ordered = np.sort(some)
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, int)
         counts = np.diff(edge)
-        values = ordered[edge[:-1]]
-        top = np.flatnonzero(counts >= least)
-        if not len(top):
+        chosen = ordered[edge[:-1]][counts >= least]
+        if not len(chosen):
             break
-        top = np.sort(top[np.argsort(-counts[top], kind="stable")[:per_round]])
-        chosen = values[top]
-        # a slot a bucket: of two chosen pairs in one bucket, one waits for the next round
-        slot = np.zeros(1 << 18, dtype=np.int64)
-        slot[(chosen * np.uint32(0x9E3779B1)) >> np.uint32(14)] = np.arange(len(chosen))
+        counts = counts[counts >= least]
+        # a slot a bucket: of the chosen pairs in one bucket, the most frequent goes first and the others wait a round
+        order = np.argsort(counts, kind="stable")
+        slot = np.full(1 << 18, -1, dtype=np.int64)
+        slot[_pair_hash((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))[order]] = order
         where = slot[bucket[at]]
-        hit = chosen[where] == some
+        hit = (where >= 0) & (chosen[where] == some)
         at, where = at[hit], where[hit]
         # of occurrences that overlap in a row, every other one from the left is replaced
         start = np.ones(len(at), dtype=bool)
@@ -162,6 +161,10 @@ def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 6
         run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, where = at[take], where[take]
+        # a pair that lost most of its places to neighbours waits for the next round, but some pair always goes
+        n = np.bincount(where, minlength=len(chosen))
+        pays = n >= min(least, n.max())
+        at, where = at[pays[where]], where[pays[where]]
         used, where = np.unique(where, return_inverse=True)
         rules.append(chosen[used])
         seq[at] = total + where
@@ -170,11 +173,16 @@ def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 6
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-    flat = np.concatenate(rules) if rules else np.empty(0, np.uint32)
-    both = np.stack((flat >> np.uint32(16), flat & np.uint32(0xFFFF)), axis=1).astype(np.int64)
+    flat = np.concatenate(rules) if rules else np.empty(0, np.uint64)
+    both = np.stack((flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64)
     return both, seq.astype(np.int64), np.flatnonzero(last) + 1
 
 
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """18 bits of each pair of symbols."""
+    return (((a * np.uint32(0x85EBCA6B)) ^ (a >> np.uint32(15)) ^ (b * np.uint32(0x9E3779B1))) >> np.uint32(14)).astype(np.intp)
+
+
 class Grammar:
     """Expansions of all symbols of a shard."""
 
@@ -223,13 +231,19 @@ def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
 
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers in the fewest bytes that hold the largest: a width byte, then the values."""
-    width = 2 if values.max(initial=0) < 1 << 16 else 4
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    most = values.max(initial=0)
+    width = 2 if most < 1 << 16 else 3 if most < 1 << 24 else 4
+    return bytes([width]) + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.int64)
+    cells = np.frombuffer(blob, dtype=np.uint8, offset=1).reshape(-1, blob[0])
+    out = np.zeros((len(cells), 4), dtype=np.uint8)
+    out[:, : blob[0]] = cells
+    return out.view("<u4").ravel().astype(np.int64)
+
 
+SAMPLE = "The  quick,brown fox’s 12%;\n ÀÉß don't we'll e-mail@x.org \t\r\n  日本語 😀 \u00a0x ² ½ _a__b <|endoftext|> y"
 
 SHARD = "first_rule int, rules binary, lengths binary, symbols binary, starts array<long>, part int, seq int, before long, n_ids long"
 
@@ -307,7 +321,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
     def run(it):
         for batch in batches(it):
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # shards are large: one at a time becomes Python objects
+                row = batch.slice(k, 1).to_pylist()[0]
                 grammar, symbols = _open(row)
                 ids = grammar.expand(symbols).astype("<u4")
                 reach = np.concatenate(([0], np.cumsum(_lengths(grammar, symbols))))
@@ -320,7 +335,6 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    small_batches(spark, 4)
     return shards.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 

@@ -355,8 +355,8 @@ def test_toxicity_features(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 64)
     parts = toxicity.features(text)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
-    b = toxicity.plain(text).tobytes()
-    assert b.startswith(" ça va idiot x".encode()) and b.endswith(b" ")
+    b = "".join(map(chr, toxicity.plain(text)))
+    assert b.startswith(" ça va idiot x") and b.endswith(" ")
     grams = [b[k : k + n] for n in toxicity.ORDERS for k in range(len(b) - n + 1)]
     assert (2 ** parts[1] - 1).sum().round() == len(grams) and len(parts[0]) <= len(set(grams))
     assert (toxicity.features(b"an IDIOT!")[0] == toxicity.features(b"An -- idiot")[0]).all()
@@ -584,8 +584,8 @@ def test_pipeline_against_its_parts(spark):
     scored = queries.op5_toxicity(spark, sf).where("predicted = 0").collect()
     assert ids["toxicity"] == {r.doc_id for r in scored} <= start
     texts = {r.doc_id: r.text for r in frames["toxicity"].collect()}
-    label = brute_components(sorted(texts), [brute_fingerprint(texts[k]) for k in sorted(texts)])
-    assert ids["near-duplicates"] == set(label.values())
+    label = dict(zip(sorted(texts), brute_overlap([texts[k] for k in sorted(texts)]), strict=True))  # five words, 0.8 or more
+    assert ids["near-duplicates"] == {min(k for k in label if label[k] == x) for x in set(label.values())}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert ids["decontamination"] == {k for k in ids["near-duplicates"] if not brute_windows(texts[k], items)[1]}
     assert ids["secrets"] == ids["decontamination"] == ids["pieces"]
