@@ -62,16 +62,30 @@ def two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def _scale(df: DataFrame) -> tuple[int, int]:
+    """Bytes of an input, from file metadata, and the session's cores."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size, df.sparkSession.sparkContext.defaultParallelism
+
+
+def fewer(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Work in fewer and larger tasks, so that results are not written as many small files; nothing is moved.
+
+    At least two tasks a core, and at most one for each 256 MB of the source: large inputs keep the splits they have.
+    """
+    size, cores = _scale(df if source is None else source)
+    n = max(2 * cores, size >> 28)
+    return df.coalesce(n) if n < 1 << 30 else df  # frames that come from no file have no known size
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of an input with fewer file splits than the session has cores; larger inputs stay as they are.
+    """Deal out the rows of an input with fewer file splits than the session has cores; larger inputs are not moved.
 
-    For work that costs much more a row than moving the row does. Sizes come from file metadata.
+    For work that costs much more a row than moving the row does.
     """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < split * cores else df
+    size, cores = _scale(df)
+    split = int(str(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    return df.repartition(cores) if size < split * cores else fewer(df)
 
 
 def train_side(id_col: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, keep_rows, raw_texts, small_batches, stored, two
+from .common import batches, fewer, keep_rows, raw_texts, small_batches, stored, two
 
 SEPARATORS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -220,7 +220,7 @@ def find_windows(
     from pyspark.sql.pandas.types import to_arrow_type
 
     small_batches(docs.sparkSession)
-    frame = two(docs, id_col, text_col)
+    frame = fewer(two(docs, id_col, text_col))
     id_type, arrow_id = frame.schema["doc_id"].dataType.simpleString(), to_arrow_type(frame.schema["doc_id"].dataType)
     frame = frame.withColumns({"items": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast(SPAN)})
     blocks = item_blocks(items, item_col, item_text_col, block_bytes)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, raw_texts, small_batches, spread, stored, two
+from .common import batches, fewer, raw_texts, small_batches, spread, stored, two
 
 
 def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
@@ -251,7 +251,7 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     gone = known.join(first, "root").where("doc_id <> first.doc_id or h <> first.h")
     gone = stored(gone.select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h")).distinct(), "surplus")
     key, h = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
-    kept = docs.join(gone, (docs[id_col] == gone["gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["gone_h"]), "left_anti")
+    kept = fewer(docs).join(gone, (docs[id_col] == gone["gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["gone_h"]), "left_anti")
     if known.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         return kept
     # an id may be the first of several components: their texts differ

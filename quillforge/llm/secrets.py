@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, lowest_hashes, small_batches, texts, two
+from .common import batches, fewer, lowest_hashes, small_batches, texts, two
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -166,7 +166,7 @@ def scan(
 ) -> DataFrame:
     """doc_id, spans (kind, start, end in code points) and redacted, the text with each span replaced by its kind."""
     small_batches(docs.sparkSession)
-    frame = two(docs, id_col, text_col)
+    frame = fewer(two(docs, id_col, text_col))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(it):
@@ -227,4 +227,4 @@ def redact_documents(
                     batch = batch.set_column(n, batch.schema.field(n), pa.array(lengths, batch.schema.field(n).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return fewer(docs).mapInArrow(run, docs.schema)
