@@ -78,14 +78,14 @@ def fewer(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     return df.coalesce(n) if n < 1 << 30 else df  # frames that come from no file have no known size
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, large: bool = True) -> DataFrame:
     """Deal out the rows of an input with fewer file splits than the session has cores; larger inputs are not moved.
 
-    For work that costs much more a row than moving the row does.
+    For work that costs much more a row than moving the row does. Unless tasks may be ``large``, they stay one a split.
     """
     size, cores = _scale(df)
     split = int(str(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
-    return df.repartition(cores) if size < split * cores else fewer(df)
+    return df.repartition(cores) if size < split * cores else fewer(df) if large else df
 
 
 def train_side(id_col: Column) -> Column:

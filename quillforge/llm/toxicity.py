@@ -142,7 +142,7 @@ def fit(
     frame = two(docs, id_col, text_col).where(F.length("text") <= max_chars)
     # only labels of texts that are there take places of the sample; ids and sizes first, texts of the chosen rows after
     light = frame.select("doc_id", F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("size")).alias("of"))
-    there = light.groupBy("doc_id").agg(F.min("of").alias("of")).join(marked, F.col("doc_id") == F.col("id"))
+    there = light.join(marked, F.col("doc_id") == F.col("id")).groupBy("doc_id", "y").agg(F.min("of").alias("of"))
     there = stored(there.select("doc_id", "y", "of.h", "of.size"), "labelled")
     chosen = lowest_hashes(there, F.col("doc_id"), max_rows)
     total = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -153,82 +153,6 @@ def fit(
     return fit_texts(got["text"].cast(pa.binary()).to_pylist(), [int(x > 0) for x in got["y"].to_pylist()])
 
 
-def score(self, text: bytes) -> float:
-        if not np.isfinite(self.bias):
-            return 0.0
-        found, value = features(text)
-        z = float((self.weights[found] * value).sum(dtype=np.float64)) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
-
-
-def fit_texts(texts: list[bytes], labels: list[int], l2: float = 1e-4, steps: int = 120, min_docs: int = 3, errors: float = 3.0) -> Model:
-    y = np.array(labels, dtype=np.float64)
-    if not 0 < y.sum() < len(y):
-        return Model(np.zeros(1 << BITS, np.float32), -np.inf)
-    pos, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for text, toxic in zip(texts, labels, strict=True):
-        found = features(text)[0]
-        every[found] += 1
-        pos[found] += toxic
-    ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((every - pos + 1) / (len(y) - y.sum() + 2))
-    # a ratio within the noise of its counts says nothing: shrink it by a multiple of its standard error
-    error = np.sqrt(1 / (pos + 1) + 1 / (every - pos + 1))
-    ratio = np.where(every >= min_docs, np.sign(ratio) * np.maximum(0, np.abs(ratio) - errors * error), 0.0)
-    used = np.flatnonzero(ratio)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    # only features that matter are held, so the second pass makes them again instead of keeping all
-    columns, values = [], []
-    for text in texts:
-        found, value = features(text)
-        here = place[found] >= 0
-        columns.append(place[found[here]])
-        values.append((value[here] * ratio[found[here]]).astype(np.float32))
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), [len(row) for row in columns])
-    # blocks of whole rows keep the working arrays of a step small
-    cuts = np.cumsum([0, *map(len, columns)])[::500].tolist()
-    column, value = np.concatenate(columns), np.concatenate(values)
-    cuts = [*cuts, len(column)] if cuts[-1] < len(column) else cuts
-    blocks = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
-    del columns, values
-    w, b = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean())))
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    for t in range(1, steps + 1):
-        z, g = np.full(len(y), b), l2 * w
-        for s in blocks:
-            z += np.bincount(owner[s], weights=w[column[s]] * value[s], minlength=len(y))
-        r = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
-        for s in blocks:
-            g += np.bincount(column[s], weights=r[owner[s]] * value[s], minlength=len(used))
-        gb = r.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        c1, c2 = 1 - 0.9**t, 1 - 0.99**t
-        w -= 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w * ratio[used]
-    return Model(weights, float(b))
-
-
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-    max_rows: int = 10_000,
-    max_bytes: int = 30_000,
-) -> Model:
-    """Fit on at most ``max_rows`` labelled texts; the caller has taken out rows that must not be learnt from."""
-    marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
-    marked = marked.where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    marked = lowest_hashes(marked, F.col("id"), max_rows)
-    frame = two(docs, id_col, text_col).where(F.octet_length("text") <= max_bytes)
-    rows = frame.join(marked, frame["doc_id"] == marked["id"]).select("doc_id", "text", "y")
-    got = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toArrow()
-    return fit_texts(got["text"].cast(pa.binary()).to_pylist(), [int(x > 0) for x in got["y"].to_pylist()])
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
     small_batches(docs.sparkSession)
