@@ -189,3 +189,14 @@ def threshold_rule(name: str) -> tuple[str, str] | None:
     """Component and side of a threshold's name; None for names of no side."""
     component, _, side = name.rpartition("_")
     return (component, side) if component and side in ("min", "max") else None
+
+
+def result(formula: Formula) -> Column:
+    """Score, completeness, missing evidence and threshold flags of a row as one struct."""
+    flags = [x for name, met in formula.flags().items() for x in (F.lit(name), met)]
+    return F.struct(
+        formula.score().alias("score"),
+        formula.complete().alias("complete"),
+        formula.missing().alias("missing"),
+        (F.create_map(*flags) if flags else F.create_map().cast("map<string,boolean>")).alias("flags"),
+    )

@@ -33,29 +33,38 @@ def subset(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
+def _first_above(listed: Column, x: Column, field: str) -> Column:
+    """Place in a sorted array of structs of the first one whose field is above x, by halving; the last one if none is."""
+    state = F.struct(F.lit(0).alias("a"), (F.size(listed) - 1).alias("b"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        right = (s["a"] < s["b"]) & (F.get(listed, mid)[field] <= x)
+        return F.struct(F.when(right, mid + 1).otherwise(s["a"]).alias("a"), F.when(right | (s["a"] >= s["b"]), s["b"]).otherwise(mid).alias("b"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(listed) + 1)).cast("int"))
+    return F.aggregate(steps, state, halve, lambda s: s["a"])
+
+
 def weighted_words(words: DataFrame, draws: DataFrame, seed: int, ranges: int = 4096) -> DataFrame:
     """A word for each draw (column draw), with replacement, by inverse cumulative weight over all words.
 
-    Words are dealt into ranges by hash. A draw falls into a range by the ranges' totals, which are a bounded table, and
-    then meets the words of that range only. Words of no weight are never drawn.
+    Words are dealt into ranges by hash. A draw falls into a range by the ranges' totals, one row of a bounded array, and
+    then meets its range's sorted array of words: two binary searches, no comparison with every word. Words of no weight
+    are never drawn. Sums of fractions may differ in their last digit between ranges and words; the last one takes the rest.
     """
     dealt = words.where("weight > 0").select("word", "weight", F.pmod(F.xxhash64("word"), F.lit(ranges)).alias("_r"))
-    inside = Window.partitionBy("_r").orderBy("word")
-    reach = dealt.withColumn("_to", F.sum("weight").over(inside)).withColumn("_from", F.col("_to") - F.col("weight"))
-    last = F.row_number().over(Window.partitionBy("_r").orderBy(F.desc("word"))) == 1
-    reach = reach.withColumn("_last", last).select("word", "_r", "_from", "_to", "_last")
-    line = Window.orderBy("_r")
-    totals = dealt.groupBy("_r").agg(F.sum("weight").alias("_w")).withColumn("_end", F.sum("_w").over(line))
-    totals = totals.select(F.col("_r").alias("_range"), (F.col("_end") - F.col("_w")).alias("_begin"), "_end", F.max("_end").over(Window.partitionBy()).alias("_t"))
+    reach = dealt.withColumn("to", F.sum("weight").over(Window.partitionBy("_r").orderBy("word")))
+    listed = reach.groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("to", "word"))).alias("_words"))
+    totals = dealt.groupBy("_r").agg(F.sum("weight").alias("_w")).withColumn("end", F.sum("_w").over(Window.orderBy("_r")))
+    ends = totals.agg(F.array_sort(F.collect_list(F.struct("end", F.col("_r").alias("r"), F.col("_w").alias("w")))).alias("_ends"), F.max("end").alias("_t"))
     # two hashes, as one alone has too few values for words of a tiny share
     u = uniform(seed, F.col("draw")) + uniform(seed, F.col("draw"), F.lit("fine")) / float(1 << 30)
-    spun = draws.withColumn("_u", u)
-    at = F.col("_u") * F.col("_t")
-    spun = spun.join(F.broadcast(totals), (at >= F.col("_begin")) & (at < F.col("_end")))
-    spun = spun.select("draw", "_range", (at - F.col("_begin")).alias("_at"))
-    # sums of fractions may differ in their last digit between range and words: the last word takes what is left
-    hit = (F.col("_range") == F.col("_r")) & (F.col("_at") >= F.col("_from")) & ((F.col("_at") < F.col("_to")) | F.col("_last"))
-    return spun.join(reach, hit).select("draw", "word")
+    spun = draws.select("draw", u.alias("_u")).crossJoin(F.broadcast(ends)).withColumn("_at", F.col("_u") * F.col("_t"))  # one row
+    spun = spun.withColumn("_e", F.get("_ends", _first_above(F.col("_ends"), F.col("_at"), "end")))
+    spun = spun.select("draw", F.col("_e.r").alias("_r"), (F.col("_at") - (F.col("_e.end") - F.col("_e.w"))).alias("_at"))
+    hit = spun.join(listed, "_r")
+    return hit.select("draw", F.get("_words", _first_above(F.col("_words"), F.col("_at"), "to"))["word"].alias("word"))
 
 
 def batches_by_shape(rows: DataFrame, size: int, seed: int, epoch: int) -> DataFrame:

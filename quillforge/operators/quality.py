@@ -131,3 +131,50 @@ def slice_quota(rows: DataFrame, excluded: DataFrame, per_slice: int, key: Colum
     once = first_wins(keyed, ["_key"], "position")
     rank = F.row_number().over(Window.partitionBy("slice").orderBy("position"))
     return once.withColumn("_n", rank).where(F.col("_n") <= per_slice).drop("_n", "_key")
+
+
+def length_warning(text: Column, least: int, most: int) -> Column:
+    return F.when(F.length(text) < least, "too_short").when(F.length(text) > most, "too_long")
+
+
+def content_types(rows: DataFrame, name: str = "content_type") -> DataFrame:
+    """How often each content type occurs; only texts that are not empty are one."""
+    return rows.where(F.coalesce(F.col(name).cast("string"), F.lit("")) != "").groupBy(name).agg(F.count("*").alias("count"))
+
+
+def required_fields(thresholds: dict, default: tuple[str, ...] = ("id", "prompt", "target_text")) -> list[str]:
+    return list(thresholds.get("required_fields") or default)
+
+
+def required_letters(thresholds: dict) -> list[str]:
+    """Lower-case letters that a set of prompts must hold, each once, in the order given."""
+    return list(dict.fromkeys("".join(thresholds.get("required_rare_characters", ())).lower()))
+
+
+def resolution_key(resolution: Column, latent: Column, image: Column) -> Column:
+    """WIDTHxHEIGHT of a sample: its stated square, else its latent's shape, else its image's size."""
+    square = F.when(resolution.isNotNull(), F.concat_ws("x", resolution, resolution))
+    out = [square]
+    for value, head, sides in ((latent, "latent-", ("H", "W")), (image, "", ("W", "H"))):
+        if value._jc.toString() != "NULL":
+            out.append(F.when(value.isNotNull(), F.concat(F.lit(head), value[sides[0]], F.lit("x"), value[sides[1]])))
+    return F.coalesce(*out)
+
+
+def eval_items(rows: DataFrame, limit: int, key: str = "id") -> DataFrame:
+    """The first items of an evaluation suite under their usual names: target_text (or target), and a name for each."""
+    text = [F.nullif(F.col(x), F.lit("")) for x in ("target_text", "target") if x in rows.columns]
+    name = [F.nullif(F.col("name"), F.lit(""))] if "name" in rows.columns else []
+    out = rows.select(key, F.coalesce(*text, F.lit("")).alias("target_text"), F.coalesce(*name, F.concat(F.lit("item-"), F.col(key))).alias("name"))
+    return out.orderBy(key).limit(limit)
+
+
+def box_fractions(box: Column, width: Column, height: Column) -> Column:
+    """area, width and height of a box [left, top, right, bottom] as shares of its image."""
+    w, h = (box[2] - box[0]) / width, (box[3] - box[1]) / height
+    return F.struct((w * h).alias("area"), w.alias("width"), h.alias("height"))
+
+
+def contrast(foreground: Column, background: Column, scale: float = 255.0) -> Column:
+    """Difference of the mean brightness inside and outside a mask, as a share of the whole scale."""
+    return F.abs(foreground - background) / scale

@@ -53,11 +53,20 @@ def remaining(tasks: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 
 
 def overlapping_ranges(ranges: DataFrame) -> DataFrame:
-    """Ranges [begin, end) that overlap one before them, by a running maximum instead of a self join."""
+    """Ranges [begin, end) that overlap one before them (by begin, end and name), without a self join.
+
+    The farthest end before a range is a running maximum: within parts of the order first, then over the parts' maxima.
+    """
     from pyspark.sql import Window
 
-    reach = F.max("end").over(Window.orderBy("begin", "end", "name").rowsBetween(Window.unboundedPreceding, -1))
-    return ranges.withColumn("_r", reach).where(F.col("begin") < F.col("_r")).drop("_r")
+    from .ranges import ranged
+
+    parted = ranged(ranges, "begin", "_part")
+    line = Window.partitionBy("_part").orderBy("begin", "end", "name").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parted.groupBy("_part").agg(F.max("end").alias("_m")).select("_part", F.max("_m").over(earlier).alias("_before"))
+    joined = parted.withColumn("_here", F.max("end").over(line)).join(F.broadcast(before), "_part")  # at most as many rows as parts
+    return joined.where(F.col("begin") < F.greatest("_here", "_before")).drop("_part", "_here", "_before")
 
 
 def recheck(rows: DataFrame, recomputed: dict[str, Column], tolerance: float = 5e-6) -> DataFrame:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scores as M
 from ..functions import text as T
 from ..functions.coerce import finite
+from .ranges import ranks
 
 
 def mean(value: Column) -> Column:
@@ -16,7 +18,8 @@ def mean(value: Column) -> Column:
 
 
 def median(value: Column) -> Column:
-    """Exact; the approximate percentile would give another value."""
+    """Exact, for values of few distinct kinds (lengths, error rates of short texts), as one buffer a group counts them;
+    ``ranges.medians`` is for all others."""
     return F.round(F.median(value), 6)
 
 
@@ -110,6 +113,17 @@ def bias_report(augmented: DataFrame, least: float) -> DataFrame:
     return got.withColumn("median_length_delta", F.round(F.col("target_length_selected") - F.col("target_length_all"), 6))
 
 
+def with_medians(out: DataFrame, middles: DataFrame, by: list[str]) -> DataFrame:
+    """Add medians to a report; both have a row a key, and null keys meet null keys."""
+    if not by:
+        return out.crossJoin(F.broadcast(middles))  # one row each
+    right = middles.select(*[F.col(k).alias(f"_{k}") for k in by], *[c for c in middles.columns if c not in by])
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return out.join(right, same, "left").drop(*[f"_{k}" for k in by])
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Null for one row or no variance, where the built-in raises."""
     both = x.isNotNull() & y.isNotNull()
@@ -118,14 +132,6 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(spread > 1e-15, F.covar_pop(x, y) / F.when(spread > 1e-15, spread))
 
 
-def ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Average ranks from counts of each distinct value, so that no single task holds all rows' ties."""
-    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    table = counts.select("_v", (before + (F.col("_n") + 1) / 2).alias(name))
-    return rows.join(table, rows[value] == table["_v"]).drop("_v")
-
-
 def compare_scorers(rows: DataFrame, a: str, b: str, cut: float = 0.5) -> DataFrame:
     ranked = ranks(ranks(rows, a, "_ra"), b, "_rb")
     d = F.col(a) - F.col(b)
@@ -190,10 +196,18 @@ def gold_report(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
+def few(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """The rows as a table on the driver, if they are few; a grid over more of them is refused."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows to build a grid from")
+    return rows.sparkSession.createDataFrame(got, rows.schema)
+
+
 def coverage(rows: DataFrame, expected: DataFrame) -> DataFrame:
     """Violations of benchmark coverage per seed: missing, duplicate, unknown and mismatched rows."""
-    seeds = rows.select("seed").distinct()
-    grid = seeds.join(expected.select("id", F.col("target_text").alias("wanted")))  # few seeds by a bounded benchmark
+    seeds = F.broadcast(few(rows.select("seed").distinct()))
+    grid = expected.select("id", F.col("target_text").alias("wanted")).crossJoin(seeds)
     n = rows.groupBy("seed", "id").agg(F.count("*").alias("n"), F.max("target_text").alias("got"))
     both = grid.join(n, ["seed", "id"], "full_outer")
     what = F.when(F.col("n").isNull(), "missing").when(F.col("wanted").isNull(), "unknown").when(F.col("n") > 1, "duplicate")
@@ -207,3 +221,16 @@ def labelled(rows: DataFrame, labels: Column) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def validation_loss(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean over anchors of the mean loss over batches, so that an anchor counts once however many batches it has."""
+    anchors = rows.groupBy(*by, "anchor").agg(F.avg("loss").alias("_m"))
+    return anchors.groupBy(*by).agg(mean(F.col("_m")).alias("loss"), F.count("*").alias("anchors"))
+
+
+def preference_metrics(rows: DataFrame, scale: float, by: list[str]) -> DataFrame:
+    """Loss, margin and accuracy of preference batches, from the losses of policy and reference on winner and loser."""
+    z = M.preference_logit(F.col("winner_policy"), F.col("loser_policy"), F.col("winner_reference"), F.col("loser_reference"), F.lit(scale))
+    found = rows.withColumn("_z", z)
+    return found.groupBy(*by).agg(mean(M.preference_loss(F.col("_z"))).alias("loss"), mean(F.col("_z")).alias("margin"), share(F.col("_z") > 0).alias("accuracy"))

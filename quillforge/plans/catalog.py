@@ -16,6 +16,7 @@ from ..operators import reconcile as K
 from ..operators import reports as R
 from ..operators import selection as S
 from ..operators import series as E
+from ..operators.ranges import medians, numbered
 from ..operators.scorers import scored
 from ..session import work_folder
 from ..sources import adapters as A
@@ -165,18 +166,9 @@ on(
 )
 
 
-def _numbered(rows: DataFrame, key: str, name: str = "position") -> DataFrame:
-    """Positions of rows in the order of a key, without one task: counts of ranges, then numbers within."""
-    ranged = rows.withColumn("_b", F.pmod(F.floor(c(key) / 256), F.lit(1 << 40)))
-    counts = ranged.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return ranged.withColumn("_i", inner).join(before, "_b").withColumn(name, c("_s") + c("_i")).drop("_b", "_s", "_i")
-
-
 on(
     prompts, "win_09", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM prompts) WHERE k % 4 = 1", PR,
-    lambda p: _numbered(p, "id").where("position % 4 = 1").select("id"),
+    lambda p: numbered(p, "id").where("position % 4 = 1").select("id"),
 )
 
 
@@ -184,13 +176,13 @@ on(
 def win_10(spark, d):
     p = prompts(spark, d)
     size = -(-p.count() // 4)
-    return _numbered(p, "id").where((c("position") >= size) & (c("position") < 2 * size)).select("id")
+    return numbered(p, "id").where((c("position") >= size) & (c("position") < 2 * size)).select("id")
 
 
 SCENES = ["street", "shop", "book", "poster", "label", "sign"]
 on(
     prompts, "win_11", f"SELECT id, ({SCENES})[CAST((row_number() OVER (ORDER BY id) - 1) % 6 AS INT) + 1] AS scene FROM prompts", PR,
-    lambda p: _numbered(p, "id").select("id", F.element_at(F.array(*map(F.lit, SCENES)), (c("position") % 6 + 1).cast("int")).alias("scene")),
+    lambda p: numbered(p, "id").select("id", F.element_at(F.array(*map(F.lit, SCENES)), (c("position") % 6 + 1).cast("int")).alias("scene")),
 )
 
 
@@ -236,18 +228,25 @@ SUMMARY = f"""SELECT count(*) AS row_count, round(avg(score), 6) AS mean_score,
   round(avg({LETTERS.format("target_text")}), 6) AS mean_target_length, round(median({LETTERS.format("target_text")}), 6) AS median_target_length FROM scored_texts"""
 
 
-def _length_summary() -> list:
-    n = T.letters(c("target_text"))
-    return [
-        F.count("*").alias("row_count"), R.mean(c("score")).alias("mean_score"), R.median(c("score")).alias("median_score"),
-        R.mean(n).alias("mean_target_length"), R.median(n).alias("median_target_length"),
-    ]
+def _length_summary(r: DataFrame) -> DataFrame:
+    rows = r.select("score", T.letters(c("target_text")).alias("n"))
+    got = rows.agg(F.count("*").alias("row_count"), R.mean(c("score")).alias("mean_score"), R.mean(c("n")).alias("mean_target_length"))
+    middles = medians(rows.select(c("score").alias("median_score"), c("n").alias("median_target_length")), [], ["median_score", "median_target_length"])
+    return R.with_medians(got, middles, [])
+
+
+on(scored_texts, "agg_06", SUMMARY, ST, _length_summary)
+
+
+def _pair_summary(r: DataFrame) -> DataFrame:
+    p = S.select_pairs(r, "best_vs_worst")
+    got = p.agg(F.count("*").alias("pair_count"), R.mean(c("winner_score")).alias("winner_mean"), R.mean(c("margin")).alias("gap_mean"))
+    return R.with_medians(got, medians(p.select(c("loser_score").alias("loser_median")), [], ["loser_median"]), [])
 
 
-on(scored_texts, "agg_06", SUMMARY, ST, lambda r: r.agg(*_length_summary()))
 on(
     scores, "agg_07", "SELECT count(*) AS pair_count, round(avg(winner_score), 6) AS winner_mean, round(median(loser_score), 6) AS loser_median, round(avg(margin), 6) AS gap_mean FROM pairs", "pairs",
-    lambda r: S.select_pairs(r, "best_vs_worst").agg(F.count("*").alias("pair_count"), R.mean(c("winner_score")).alias("winner_mean"), R.median(c("loser_score")).alias("loser_median"), R.mean(c("margin")).alias("gap_mean")),
+    _pair_summary,
 )
 DIST = "SELECT coalesce({0}, 'unknown') AS value, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM {1} GROUP BY 1"
 on(prompts, "agg_08", DIST.format("style", "prompts"), PR, lambda p: R.distribution(p, "style"))
@@ -293,26 +292,23 @@ on(
 @add(
     "agg_15",
     """SELECT seed, id, CASE WHEN n IS NULL THEN 'missing' WHEN w IS NULL THEN 'unknown' WHEN n > 1 THEN 'duplicate' END AS violation FROM
-    (SELECT seed, id, w FROM (SELECT DISTINCT l_linenumber AS seed FROM lineitem), (SELECT l_partkey AS id, 1 AS w FROM lineitem GROUP BY 1 HAVING l_partkey % 50 < 49 AND l_partkey < 200)) g
-    FULL JOIN (SELECT l_linenumber AS seed, l_partkey AS id, count(*) AS n FROM lineitem WHERE l_partkey < 200 GROUP BY 1, 2) h USING (seed, id) WHERE n IS NULL OR w IS NULL OR n > 1""",
+    (SELECT seed, id, w FROM (SELECT DISTINCT l_linenumber AS seed FROM lineitem), (SELECT p_partkey AS id, 1 AS w FROM part WHERE p_size < 50)) g
+    FULL JOIN (SELECT l_linenumber AS seed, l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1, 2) h USING (seed, id) WHERE n IS NULL OR w IS NULL OR n > 1""",
 )
 def agg_15(spark, d):
-    rows = A.table(spark, d, "lineitem").where("l_partkey < 200").select(c("l_linenumber").alias("seed"), c("l_partkey").alias("id"), F.lit("t").alias("target_text"))
-    wanted = rows.where("id % 50 < 49").select("id", "target_text").distinct()
+    rows = A.table(spark, d, "lineitem").select(c("l_linenumber").alias("seed"), c("l_partkey").alias("id"), F.lit("t").alias("target_text"))
+    wanted = A.table(spark, d, "part").where("p_size < 50").select(c("p_partkey").alias("id"), F.lit("t").alias("target_text"))
     return R.coverage(rows, wanted).select("seed", "id", "violation")
 
 
-@add("agg_15_whole")
-def agg_15_whole(spark, d):
-    """agg_15 over all parts; its SQL covers parts below 200 only."""
-    rows = A.table(spark, d, "lineitem").select(c("l_linenumber").alias("seed"), c("l_partkey").alias("id"), F.lit("t").alias("target_text"))
-    wanted = rows.where("id % 50 < 49").select("id", "target_text").distinct()
-    return R.coverage(rows, wanted).select("seed", "id", "violation")
+def _by_type(m: DataFrame) -> DataFrame:
+    got = m.groupBy("event_type").agg(R.mean(c("reward")).alias("mean"), F.round(F.try_divide(F.sum("reward"), F.count_if(c("reward") > 50)), 6).alias("ratio"))
+    return R.with_medians(got, medians(m.select("event_type", c("reward").alias("median")), ["event_type"], ["median"]), ["event_type"])
 
 
 on(
     metrics, "agg_16", "SELECT event_type, round(avg(reward), 6) AS mean, round(median(reward), 6) AS median, round(sum(reward) / nullif(count(*) FILTER (reward > 50), 0), 6) AS ratio FROM metrics GROUP BY 1",
-    ME, lambda m: m.groupBy("event_type").agg(R.mean(c("reward")).alias("mean"), R.median(c("reward")).alias("median"), F.round(F.try_divide(F.sum("reward"), F.count_if(c("reward") > 50)), 6).alias("ratio")),
+    ME, _by_type,
 )
 FOUR = "count({0}) AS count, round(min({0}), 6) AS min, round(max({0}), 6) AS max, round(avg({0}), 6) AS mean"
 
@@ -395,7 +391,7 @@ on(pairs, "ord_04", f"SELECT * FROM ({CONF}) ORDER BY count DESC, expected, obse
 STRIP = "regexp_replace({0}, '[!-/:-@\\[-`{{-~—–…«»№]', '', 'g')"
 SLICES = f"""SELECT id, t, list_filter([CASE WHEN regexp_matches(t, '[0-9²³¹]') THEN 'has_digits' END, CASE WHEN regexp_matches(t, '[!-/:-@\\[-`{{-~—–…«»№]') THEN 'has_punctuation' END,
   CASE WHEN len(ws) >= 2 THEN 'multi_word_phrase' WHEN len(ws) = 1 THEN 'short_word' END, CASE WHEN len(list_filter(ws, lambda w: length({STRIP.format("w")}) >= 10)) > 0 THEN 'long_word' END], lambda x: x IS NOT NULL) AS labels
-  FROM (SELECT id, t, list_filter(string_split(t, ' '), lambda w: w <> '') AS ws FROM (SELECT id, trim(target_text) AS t FROM prompts)) WHERE t <> ''"""
+  FROM (SELECT id, t, list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '') AS ws FROM (SELECT id, trim(target_text) AS t FROM prompts)) WHERE t <> ''"""
 SHOWN = ["has_digits", "has_punctuation", "multi_word_phrase", "short_word", "long_word"]
 
 
@@ -461,7 +457,12 @@ on(
     rank() OVER (ORDER BY score_vlm) + (count(*) OVER (PARTITION BY score_vlm) - 1) / 2 AS ra, rank() OVER (ORDER BY score_ocr) + (count(*) OVER (PARTITION BY score_ocr) - 1) / 2 AS rb FROM score_rows)""",
     SR, lambda r: R.compare_scorers(r, "score_vlm", "score_ocr").withColumns({x: F.round(x, 5) for x in ("pearson", "spearman")}),
 )
-on(scores, "agg_41", "SELECT run, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, min(score) AS min, max(score) AS max FROM score_rows GROUP BY run", SR, lambda r: r.groupBy("run").agg(F.count("*").alias("n"), R.mean(c("score")).alias("mean"), R.median(c("score")).alias("median"), F.min("score").alias("min"), F.max("score").alias("max")))
+def _by_run(r: DataFrame) -> DataFrame:
+    got = r.groupBy("run").agg(F.count("*").alias("n"), R.mean(c("score")).alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"))
+    return R.with_medians(got, medians(r.select("run", c("score").alias("median")), ["run"], ["median"]), ["run"])
+
+
+on(scores, "agg_41", "SELECT run, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, min(score) AS min, max(score) AS max FROM score_rows GROUP BY run", SR, _by_run)
 on(
     prompts, "agg_42", "SELECT content_type, count(*) AS n, min(l) AS min, max(l) AS max, round(avg(l), 6) AS mean, list_sort(list(l))[CAST(count(*) // 2 AS INT) + 1] AS upper_median FROM (SELECT content_type, length(target_text) AS l FROM prompts) GROUP BY 1", PR,
     lambda p: _upper_median(p),

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 
 from pyspark.sql import functions as F
 
-from ..operators.scorers import fake_scorer
+from ..sources import documents
 from . import provenance as V
 from .catalog import PR, SR, A, M, P, Q, add, c, on, prompts, readers, scores, sinks, work_folder
 
@@ -67,24 +65,29 @@ LEFT = {"model": {"name": "a", "steps": 50}, "seed": 1, "size": [512, 512]}
 RIGHT = {"model": {"name": "b", "steps": 50}, "seed": 1, "host": "x"}
 
 
-@add("jsn_04", """SELECT * FROM (VALUES ('model.name', '"a"'), ('model.steps', '50'), ('seed', '1'), ('size', '[512, 512]')) AS t(path, value)""")
+def of_source(spark, d, lang: str) -> dict:
+    """A manifest of the documents of a language: what they are and how many there are."""
+    rows = A.table(spark, d, "documents").where(c("lang") == lang)
+    got = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars")).first()
+    return {"lang": lang, "counts": {"documents": got.n, "chars": got.chars}, "labels": sorted(r.source for r in rows.where("source is not null").select("source").distinct().collect())}
+
+
+SIZES = "(SELECT lang, count(*) AS n, sum(n_chars) AS chars, list_sort(list_distinct(list(source))) AS labels FROM documents WHERE lang IN ('en', 'de') GROUP BY 1)"
+
+
+@add("jsn_04", f"""SELECT 'lang' AS path, '"en"' AS value UNION ALL SELECT 'counts.documents', CAST(n AS VARCHAR) FROM {SIZES} WHERE lang = 'en' UNION ALL SELECT 'counts.chars', CAST(chars AS VARCHAR) FROM {SIZES} WHERE lang = 'en'
+UNION ALL SELECT 'labels', '["' || array_to_string(labels, '", "') || '"]' FROM {SIZES} WHERE lang = 'en'""")
 def jsn_04(spark, d):
-    return V.manifest_frame(spark, LEFT)
+    return V.manifest_frame(spark, of_source(spark, d, "en"))
 
 
-@add("prv_06", """SELECT * FROM (VALUES ('host', 'missing_left', 'note'), ('model.name', 'different', 'blocking'), ('size', 'missing_right', 'note'))
-AS t(field, reason, severity)""")
+@add("prv_06", f"""SELECT 'lang' AS field, 'different' AS reason, 'blocking' AS severity UNION ALL SELECT 'counts.documents', 'different', 'note' FROM {SIZES} HAVING count(DISTINCT n) > 1
+UNION ALL SELECT 'counts.chars', 'different', 'note' FROM {SIZES} HAVING count(DISTINCT chars) > 1 UNION ALL SELECT 'labels', 'different', 'note' FROM {SIZES} HAVING count(DISTINCT labels) > 1 UNION ALL SELECT 'host', 'missing_left', 'note'""")
 def prv_06(spark, d):
-    found = V.comparable(LEFT, RIGHT, {"model"})
+    found = V.comparable(of_source(spark, d, "en"), of_source(spark, d, "de") | {"host": "x"}, {"lang"})
     return spark.createDataFrame([(x["field"], x["reason"], x["severity"]) for x in found], "field string, reason string, severity string")
 
 
-@add("prv_05", "SELECT * FROM (VALUES ('host'), ('model.name'), ('size')) AS t(path)")
-def prv_05(spark, d):
-    rows = V.manifest_frame(spark, LEFT).withColumnRenamed("value", "old").join(V.manifest_frame(spark, RIGHT).withColumnRenamed("value", "new"), "path", "full")
-    return rows.where(~c("old").eqNullSafe(c("new"))).select("path")
-
-
 @add("prv_09", """SELECT target, seed, step FROM (SELECT unnest(['base', 'tuned']) AS target), (SELECT unnest([1, 2, 3]) AS seed),
 (SELECT unnest(['generate', 'score']) AS step) UNION ALL SELECT unnest(['base', 'tuned']), NULL, 'aggregate'""")
 def prv_09(spark, d):
@@ -118,36 +121,39 @@ def val_19(spark, d):
 
 @add("str_03", "SELECT * FROM (VALUES (0, 'in_progress', 1), (1, 'failed', 1), (2, 'in_progress', 2), (3, 'complete', 2)) AS t(step, status, attempt)")
 def str_03(spark, d):
-    rows, document = [], {}
+    """An attempt that fails and one that succeeds, each state stored and read again before the next."""
+    rows, path = [], work_folder(spark, "attempt") + ".json"
+    documents.write(spark, {}, path)
     for k, status in enumerate(("in_progress", "failed", "in_progress", "complete")):
-        document = V.advance(document, status)
-        rows.append((k, document["status"], document["attempt"]))
+        documents.write(spark, V.advance(documents.read(spark, path), status), path)
+        now = documents.read(spark, path)
+        rows.append((k, now["status"], now["attempt"]))
     return spark.createDataFrame(rows, "step int, status string, attempt int")
 
 
 @add("str_04", "SELECT * FROM (VALUES ('first', true), ('same', true), ('other', false)) AS t(claimant, held)")
 def str_04(spark, d):
-    rows = []
-    with tempfile.TemporaryDirectory() as folder:  # only the driver reads and writes it
-        for who, contract in (("first", LEFT), ("same", LEFT), ("other", RIGHT)):
-            try:
-                V.claim(os.path.join(folder, "contract.json"), contract)
-                rows.append((who, True))
-            except ValueError:
-                rows.append((who, False))
+    """Claims on one place of the shared folder, by contracts of the documents of two languages."""
+    rows, path = [], work_folder(spark, "contract") + ".json"
+    for who, lang in (("first", "en"), ("same", "en"), ("other", "de")):
+        try:
+            V.claim(spark, path, of_source(spark, d, lang))
+            rows.append((who, True))
+        except ValueError:
+            rows.append((who, False))
     return spark.createDataFrame(rows, "claimant string, held boolean")
 
 
 @add("prv_10", "SELECT * FROM (VALUES ('report', 'changed'), ('table', 'missing')) AS t(name, reason)")
 def prv_10(spark, d):
-    with tempfile.TemporaryDirectory() as folder:  # only the driver reads and writes it
-        paths = {n: os.path.join(folder, n) for n in ("plot", "report", "table")}
-        for p in paths.values():
-            sinks.document({"x": 1}, p)
-        entries = V.evidence(paths)
-        sinks.document({"x": 2}, paths["report"])
-        os.remove(paths["table"])
-        return spark.createDataFrame([(x["name"], x["reason"]) for x in V.verify_evidence(entries)], "name string, reason string")
+    folder = work_folder(spark, "evidence")
+    paths = {n: f"{folder}/{n}.json" for n in ("plot", "report", "table")}
+    for lang, p in zip(("en", "de", "fr"), paths.values(), strict=True):
+        documents.write(spark, of_source(spark, d, lang), p)
+    entries = V.evidence(spark, paths)
+    documents.write(spark, of_source(spark, d, "es") | {"note": 1}, paths["report"])
+    documents.delete(spark, paths["table"])
+    return spark.createDataFrame([(x["name"], x["reason"]) for x in V.verify_evidence(spark, entries)], "name string, reason string")
 
 
 CONFIG = '{"api_key":"<redacted>","steps":50}'
@@ -179,8 +185,3 @@ def sup_20(spark, d):
     pool = rows.where("id % 2 = 0").groupBy("style", "content_type").agg(F.min("id").alias("id")).select("id", "style", "content_type")
     return P.add_scenes(pool, rows.where("id % 2 = 1"), ["style", "content_type"], "id").select("style", "content_type")
 
-
-@add("udf_09", "SELECT * FROM (VALUES ('fake_scorer', 'scorer'), ('phrases', 'generator')) AS t(name, kind)")
-def udf_09(spark, d):
-    """Places where own code plugs in."""
-    return spark.createDataFrame([(fake_scorer.__name__, "scorer"), ("phrases", "generator")], "name string, kind string")

@@ -71,7 +71,6 @@ def jon_09(spark, d):
 
 REST = "SELECT id, version FROM score_rows WHERE NOT (id % 3 = 0)"
 on(scores, "jon_10", REST, SR, lambda r: K.remaining(r.select("id", "version"), r.where("id % 3 = 0"), "id", "version"))
-on(scores, "str_02", REST, SR, lambda r: K.remaining(r.select("id", "version"), r.where("id % 3 = 0"), "id", "version"))
 
 
 @add("jon_11", f"SELECT id FROM prompts WHERE {UP.format('target_text')} NOT IN (SELECT {UP.format('text')} FROM benchmark WHERE text IS NOT NULL)", PR)
@@ -161,7 +160,11 @@ def _piece_distance(p):
     return p.select("sample_id", F.round(T.pieces_error_rate(F.split("detected_text", " "), F.split("target_text", " ")), 6).alias("cer"))
 
 
-on(pairs, "scl_06", None, TP, _piece_distance)
+PIECES = "lower(replace({0}, ' ', ''))"  # names have no capitals, so look-alikes turn into each other on both sides
+on(
+    pairs, "scl_06", f"SELECT sample_id, round(least(1.0, levenshtein({PIECES.format('detected_text')}, {PIECES.format('target_text')}) / greatest(length({PIECES.format('target_text')}), 1)), 6) AS cer FROM text_pairs", TP,
+    _piece_distance,
+)
 on(pairs, "scl_07", f"SELECT sample_id, round({CER}, 6) AS cer FROM text_pairs", TP, lambda p: p.select("sample_id", F.round(T.plain_error_rate(c("detected_text"), c("target_text")), 6).alias("cer")))
 METRICS = """SELECT sample_id, m AS char_matches, t AS char_total, round(CASE WHEN t = 0 THEN 1.0 ELSE m / t END, 6) AS char_accuracy, CASE WHEN b = '' THEN 'not_detected' WHEN a = b THEN 'detected_exact' ELSE 'detected_mismatch' END AS detection_status
   FROM (SELECT sample_id, a, b, greatest(length(a), length(b)) AS t, len(list_filter(range(1, CAST(least(length(a), length(b)) AS BIGINT) + 1), lambda k: substr(a, k, 1) = substr(b, k, 1))) AS m
@@ -190,17 +193,42 @@ on(
 )
 on(prompts, "scl_15", "SELECT id, len(regexp_extract_all(target_text, '\\p{L}')) AS n FROM prompts", PR, lambda p: p.select("id", T.letters(c("target_text")).cast("long").alias("n")))
 on(prompts, "scl_16", "SELECT id, array_to_string(list_sort(list_filter(list_distinct(string_split(upper(replace(target_text, 'ß', 'SS')), '')), lambda x: x IN ('Q', 'Z', 'Ñ', 'X'))), '') AS g FROM prompts", PR, lambda p: p.select("id", F.array_join(T.hard_glyphs(c("target_text"), "QZÑX"), "").alias("g")))
-on(prompts, "scl_18", "SELECT id, regexp_matches(t, '\\p{Ll}') AND regexp_matches(' ' || t, '[ ][^ ]+\\p{Lu}') AS mixed FROM (SELECT id, regexp_replace(trim(target_text), '[!-/:-@\\[-`{-~—–…«»№]', '', 'g') AS t FROM prompts)", PR, lambda p: p.select("id", T.mixed_case(F.trim("target_text")).alias("mixed")))
+on(prompts, "scl_18", "SELECT id, regexp_matches(t, '\\p{Ll}') AND regexp_matches(' ' || t, '\\s\\S+\\p{Lu}') AS mixed FROM (SELECT id, regexp_replace(trim(target_text), '[!-/:-@\\[-`{-~—–…«»№]', '', 'g') AS t FROM prompts)", PR, lambda p: p.select("id", T.mixed_case(F.trim("target_text")).alias("mixed")))
 on(prompts, "scl_19", "SELECT id, coalesce(trim(style) <> '', false) OR coalesce(trim(content_type) <> '', false) AS there FROM prompts", PR, lambda p: p.select("id", T.present(c("style"), c("content_type")).alias("there")))
 on(pairs, "scl_20", "SELECT sample_id, array_to_string(list_transform(string_split(target_text, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS t, upper(target_text) AS u FROM text_pairs WHERE NOT regexp_matches(target_text, '[^A-Za-z ]')", TP, lambda p: p.where(~c("target_text").rlike("[^A-Za-z ]")).select("sample_id", T.apply_case(c("target_text"), F.lit("title")).alias("t"), T.apply_case(c("target_text"), F.lit("upper")).alias("u")))
 on(pairs, "scl_21", "SELECT sample_id, array_to_string(list_transform(range(1, CAST(length(target_text) AS BIGINT) + 1), lambda k: CASE WHEN k % 2 = 1 THEN upper(substr(target_text, k, 1)) ELSE lower(substr(target_text, k, 1)) END), '') AS t FROM text_pairs", TP, lambda p: p.select("sample_id", T.alternating_case(c("target_text")).alias("t")))
 on(pairs, "scl_22", "SELECT sample_id, target_text AS t FROM text_pairs", TP, lambda p: p.select("sample_id", T.transliterate(F.translate("target_text", "abdegiklmnoprstuvzABDEGIKLMNOPRSTUVZ", "абдегиклмнопрстувзАБДЕГИКЛМНОПРСТУВЗ")).alias("t")))
-on(pairs, "scl_23", "SELECT sample_id, target_text AS t FROM text_pairs", TP, lambda p: p.select("sample_id", T.half_transliterate(c("target_text")).alias("t")))
+TO_CYRILLIC = ("abdegiklmnoprstuvz", "абдегиклмнопрстувз")
+HALF = f"""SELECT sample_id, array_to_string(list_transform(range(1, CAST(length(w) AS BIGINT) + 1), lambda k: CASE WHEN len(regexp_extract_all(substr(w, 1, k - 1), '[{TO_CYRILLIC[0]}]')) % 2 = 1
+  THEN translate(substr(w, k, 1), '{TO_CYRILLIC[0]}', '{TO_CYRILLIC[1]}') ELSE substr(w, k, 1) END), '') AS t FROM (SELECT sample_id, regexp_replace(lower(target_text), '[^{TO_CYRILLIC[0]} ]', '', 'g') AS w FROM text_pairs)
+  WHERE len(regexp_extract_all(w, '[{TO_CYRILLIC[0]}]')) >= 2"""
+on(
+    pairs, "scl_23", HALF, TP,
+    lambda p: p.select("sample_id", F.regexp_replace(F.lower("target_text"), f"[^{TO_CYRILLIC[0]} ]", "").alias("w")).where(F.regexp_count("w", F.lit(f"[{TO_CYRILLIC[0]}]")) >= 2)
+    .select("sample_id", T.half_transliterate(F.translate("w", *TO_CYRILLIC)).alias("t")),
+)
 on(pairs, "scl_24", "SELECT sample_id, CASE sample_id % 3 WHEN 0 THEN target_text || ' ' || sample_id WHEN 1 THEN target_text || '!' ELSE target_text END AS t FROM text_pairs", TP, lambda p: p.select("sample_id", T.stage_text(c("target_text"), F.element_at(F.array(F.lit("digits"), F.lit("punctuation"), F.lit("plain")), (c("sample_id") % 3 + 1).cast("int")), c("sample_id").cast("string"), F.lit("!")).alias("t")))
-on(prompts, "scl_25", None, PR, lambda p: p.select("id", T.truncate_words(c("target_text")).alias("t")))
+CUT = """SELECT id, CASE WHEN length(t) <= 30 THEN t WHEN n = 0 THEN substr(t, 1, 30) ELSE array_to_string(ws[1:n], ' ') END AS t FROM (SELECT id, t, ws,
+  len(list_filter(range(1, CAST(least(len(ws), 31) AS BIGINT) + 1), lambda k: length(array_to_string(ws[1:k], ' ')) <= 30)) AS n FROM (SELECT id, target_text AS t, string_split(target_text, ' ') AS ws FROM prompts WHERE NOT contains(target_text, '  ') AND target_text NOT LIKE ' %'))"""
+on(prompts, "scl_25", CUT, PR, lambda p: p.where(~F.contains("target_text", F.lit("  ")) & ~F.startswith("target_text", F.lit(" "))).select("id", T.truncate_words(c("target_text")).alias("t")))
 on(pairs, "scl_26", "SELECT sample_id, 'a sign with ' || target_text || ' in ' || detected_text AS t FROM text_pairs", TP, lambda p: p.select("sample_id", T.fill_template(F.lit("a sign with {text} in {scene}"), text=c("target_text"), scene=c("detected_text")).alias("t")))
-on(pairs, "scl_27", "SELECT sample_id, target_text AS t FROM text_pairs", TP, lambda p: p.select("sample_id", T.clean_phrase(F.concat(F.lit('<think>x</think> 12. "'), c("target_text"), F.lit('"'))).alias("t")))
-on(pairs, "scl_28", "SELECT sample_id, 'api_key=<redacted> n=' || sample_id AS t FROM text_pairs", TP, lambda p: p.select("sample_id", T.redact(F.concat(F.lit("api_key=abc"), c("sample_id"), F.lit(" n="), c("sample_id"))).alias("t")))
+
+
+def _wrapped():
+    return F.element_at(F.array(*[F.concat(F.lit(a), c("target_text"), F.lit(b)) for a, b in (('<think>x\ny</think> 12. "', '"'), ("- ", " "), ("3) «", "»"), ("  '", "'\n"))]), (F.length("target_text") % 4 + 1).cast("int"))
+
+
+on(pairs, "scl_27", "SELECT sample_id, target_text AS t FROM text_pairs", TP, lambda p: p.select("sample_id", T.clean_phrase(_wrapped()).alias("t")))
+
+
+def _secret_text():
+    return F.when(F.length("target_text") % 3 == 0, F.concat(F.lit("api_key=abc"), c("sample_id"))).when(F.length("target_text") % 3 == 1, F.concat(F.lit("Bearer x"), c("sample_id"))).otherwise(F.concat(F.lit("keyboard="), c("sample_id")))
+
+
+on(
+    pairs, "scl_28", "SELECT sample_id, CASE length(target_text) % 3 WHEN 0 THEN 'api_key=<redacted>' WHEN 1 THEN 'Bearer <redacted>' ELSE 'keyboard=' || sample_id END || ' n=' || sample_id AS t FROM text_pairs", TP,
+    lambda p: p.select("sample_id", T.redact(F.concat(_secret_text(), F.lit(" n="), c("sample_id"))).alias("t")),
+)
 on(pairs, "scl_29", "SELECT sample_id, regexp_replace(regexp_replace(lower(trim(target_text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, lpad(CAST(sample_id AS VARCHAR), 8, '0') AS padded FROM text_pairs", TP, lambda p: p.select("sample_id", T.slug(c("target_text")).alias("slug"), T.padded_id(c("sample_id"), 8).alias("padded")))
 on(scores, "scl_30", "SELECT id, version, version AS parsed FROM score_rows", SR, lambda r: r.select("id", "version", T.version_of(F.concat(F.lit("images/"), c("id"), F.lit("/v"), c("version"), F.lit(".png"))).alias("parsed")))
 
@@ -251,12 +279,10 @@ on(
 )
 on(scores, "mth_13", "SELECT id, version, round(0.7 * score_vlm + 0.3 * score_ocr, 6) AS loss FROM score_rows", SR, lambda r: r.select("id", "version", F.round(M.masked_blend(c("score_vlm"), c("score_ocr"), 0.7), 6).alias("loss")))
 on(scores, "mth_15", "SELECT id, version, 42 + id * 8 + version AS seed FROM score_rows", SR, lambda r: r.select("id", "version", M.plan_seed(42, c("id"), 8, c("version")).alias("seed")))
-add("mth_16", "SELECT p_partkey, round(p_size / 50.0 * 0.5, 6) AS area, CAST(p_size * 0.5 AS DOUBLE) AS h FROM part")(lambda s, d: A.table(s, d, "part").select("p_partkey", F.array(F.lit(0.0), F.lit(0.0), c("p_size") / 50.0, F.lit(0.5)).alias("b"), "p_size").select("p_partkey", F.round((c("b")[2] - c("b")[0]) * (c("b")[3] - c("b")[1]), 6).alias("area"), (c("p_size") * 0.5).alias("h")))
 on(metrics, "mth_17", f"SELECT t FROM {STEPS} WHERE t > 0 AND t % 25 = 0", ME, lambda m: _steps(m).where(M.at_interval(c("t"), 25)).select("t"))
 on(metrics, "mth_18", f"SELECT t, t * 4 * 2 AS b FROM {STEPS}", ME, lambda m: _steps(m).select("t", M.batch_size(c("t"), F.lit(4), F.lit(2)).alias("b")))
 on(metrics, "sup_31", f"SELECT t, round(0.001 * CASE WHEN t < 10 THEN t / 10 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, greatest(0, (t - 10) / 90)))) END, 9) AS lr FROM {STEPS}", ME, lambda m: _steps(m).select("t", F.round(M.learning_rate(c("t"), 0.001, 0.0001, 10, 100), 9).alias("lr")))
 add("sup_32", "SELECT k, round(CASE WHEN k = 10 THEN 0.0 ELSE 3 * s / (1 + 2 * s) END, 6) AS sigma FROM (SELECT unnest(range(11)) AS k, 1 + (0.001 - 1) * unnest(range(11)) / 9 AS s)")(lambda s, d: s.range(1).select(F.posexplode(M.sigma_grid(10)).alias("k", "sigma")).select(c("k").cast("long").alias("k"), F.round("sigma", 6).alias("sigma")))
-on(scores, "sup_02", "SELECT id, version, CASE WHEN id % 2 = 0 THEN NULL ELSE score END AS s FROM score_rows", SR, lambda r: r.withColumn("product_score", F.when(c("id") % 2 != 0, c("score"))).select("id", "version", c("product_score").alias("s")))
 
 # ---------------------------------------------------------------- coercion
 RAW = "CASE id % 6 WHEN 0 THEN 'nan' WHEN 1 THEN '' WHEN 2 THEN ' 1.5 ' WHEN 3 THEN 'yes' WHEN 4 THEN 'inf' ELSE '0' END"
@@ -271,8 +297,14 @@ NUM = "CASE id % 6 WHEN 2 THEN 1.5 WHEN 5 THEN 0.0 END"
 on(scores, "coe_01", f"SELECT id, version, CAST({NUM} AS DOUBLE) AS x FROM score_rows", SR, lambda r: _raw(r).select("id", "version", C.finite(c("raw")).alias("x")))
 on(scores, "coe_02", f"SELECT id, version, CAST({NUM} AS DOUBLE) AS x FROM score_rows", SR, lambda r: _raw(r).select("id", "version", C.finite_or_marker(c("raw")).alias("x")))
 on(scores, "coe_03", "SELECT id, version, CASE id % 6 WHEN 3 THEN true WHEN 5 THEN false END AS x FROM score_rows", SR, lambda r: _raw(r).select("id", "version", C.boolean(c("raw")).alias("x")))
-on(scores, "coe_04", "SELECT id, version, CAST(NULL AS BOOLEAN) AS x FROM score_rows", SR, lambda r: (lambda q: q.select("id", "version", C.strict_boolean(q, "raw").alias("x")))(_raw(r)))
-on(scores, "coe_05", "SELECT id, version, 'cer,entropy' AS x FROM score_rows", SR, lambda r: r.select("id", "version", F.array_join(C.missing_list(F.lit("entropy, cer,,")), ",").alias("x")))
+on(
+    scores, "coe_04", "SELECT id, version, run = 'A' AS typed, CAST(NULL AS BOOLEAN) AS text FROM score_rows", SR,
+    lambda r: (lambda q: q.select("id", "version", C.strict_boolean(q, "flag").alias("typed"), C.strict_boolean(q, "word").alias("text")))(r.withColumns({"flag": c("run") == "A", "word": F.when(c("run") == "A", "true").otherwise("false")})),
+)
+on(
+    scores, "coe_05", "SELECT id, version, CASE WHEN run = 'A' AND slice = 'F' THEN 'cer,entropy' WHEN run = 'A' THEN 'entropy' WHEN slice = 'F' THEN 'cer' ELSE '' END AS x FROM score_rows", SR,
+    lambda r: r.select("id", "version", F.array_join(C.missing_list(F.concat(F.when(c("run") == "A", " entropy ,").otherwise(", "), F.when(c("slice") == "F", "cer,").otherwise(""))), ",").alias("x")),
+)
 on(scores, "coe_06", "SELECT id, version, CASE WHEN version % 2 = 0 THEN '' ELSE printf('%.6f', score) END AS x FROM score_rows", SR, lambda r: r.select("id", "version", C.six_decimals(F.when(c("version") % 2 != 0, c("score"))).alias("x")))
 on(scores, "coe_07", "SELECT id, version, id % 6 IN (0, 3, 4) AS bad FROM score_rows", SR, lambda r: _raw(r).select("id", "version", C.not_finite(c("raw")).alias("bad")))
 on(scores, "coe_08", "SELECT run, count(*) FILTER (id % 6 IN (2, 5)) AS n FROM score_rows GROUP BY 1", SR, lambda r: r.join(_raw(r).select("id", "version", "raw"), ["id", "version"]).groupBy("run").agg(F.count(C.finite(c("raw"))).alias("n")))
@@ -294,13 +326,10 @@ on(scores, "prj_06", f"SELECT id, version, CAST({NUM} AS DOUBLE) AS score, CASE
 on(prompts, "prj_07", "SELECT id, CASE WHEN id % 2 = 0 THEN style ELSE content_type END AS font FROM prompts", PR, lambda p: p.withColumn("m", F.when(c("id") % 2 == 0, F.create_map(F.lit("font"), c("style")))).select("id", F.coalesce(c("m")["font"], c("content_type")).alias("font")))
 on(prompts, "prj_08", "SELECT CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE 'img' || id END AS sample_id FROM prompts", PR, lambda p: p.select(F.coalesce(C.filled(F.when(c("id") % 2 == 0, c("id").cast("string")).otherwise("")), F.nullif(F.regexp_extract(F.concat(F.lit("a/img"), c("id"), F.lit(".png")), "([^/]+)\\.[a-z]+$", 1), F.lit("")), F.lit("unknown")).alias("sample_id")))
 on(prompts, "prj_09", "SELECT id, coalesce(nullif(target_text, ''), nullif(style, '')) AS t FROM prompts", PR, lambda p: p.select("id", C.filled(c("target_text"), c("style")).alias("t")))
-add("prj_10", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size || 'x' || p_size ELSE 'latent-' || p_size || 'x8' END AS k FROM part")(lambda s, d: A.table(s, d, "part").select("p_partkey", F.when(c("p_size") % 2 == 0, F.concat_ws("x", "p_size", "p_size")).otherwise(F.concat(F.lit("latent-"), c("p_size"), F.lit("x8"))).alias("k")))
-on(prompts, "prj_11", "SELECT id, target_text AS target, 'item-' || id AS name FROM prompts ORDER BY id LIMIT 20", PR, lambda p: p.orderBy("id").limit(20).select("id", c("target_text").alias("target"), F.concat(F.lit("item-"), c("id")).alias("name")))
 
 # ---------------------------------------------------------------- checks
 on(prompts, "val_01", "SELECT id, CASE WHEN trim(target_text) = '' THEN 'blank' WHEN length(target_text) > 200 THEN 'too_long' WHEN n_chars % 13 = 0 THEN 'odd' END AS error FROM prompts", PR, lambda p: p.select("id", Q.first_error([(F.trim("target_text") == "", "blank"), (F.length("target_text") > 200, "too_long"), (c("n_chars") % 13 == 0, "odd")]).alias("error")))
 on(prompts, "val_02", "SELECT id, regexp_matches(target_text, '[^а-яёА-ЯЁA-Za-z0-9\\s!-/:-@\\[-`{-~—–−«»…№₽]') AS illegal FROM prompts", PR, lambda p: p.select("id", Q.illegal(c("target_text")).alias("illegal")))
-on(prompts, "val_03", "SELECT id, length(target_text) < 10 AS short, length(target_text) > 200 AS long FROM prompts", PR, lambda p: p.select("id", (F.length("target_text") < 10).alias("short"), (F.length("target_text") > 200).alias("long")))
 on(
     prompts, "val_04", """SELECT id, coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(trim(target_text)), '\\s+')) AS w) WHERE w <> '' GROUP BY w)), 0) >= 4 AS repeated,
     length(target_text) - length(replace(target_text, '"', '')) AS quotes FROM prompts""", PR,
@@ -313,8 +342,6 @@ add("val_08", "SELECT event_id, json_extract(props, '$.k') IS NOT NULL AS typed
 add("val_11", "SELECT doc_id AS sample_id, count(*) AS count FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 10 = 0) GROUP BY 1 HAVING count(*) > 1")(lambda s, d: (lambda g: S.duplicates(g.unionAll(g.where("sample_id % 10 = 0")), "sample_id"))(A.gold(s, d).select("sample_id")))
 on(scores, "val_12", "SELECT id, count(*) AS count FROM score_rows GROUP BY 1 HAVING count(*) > 1", SR, lambda r: S.duplicates(r, "id"))
 on(scores, "val_13", "SELECT count(*) FILTER (version < 0) AS negative, count(*) - count(DISTINCT (id, version)) AS repeated FROM score_rows", SR, lambda r: r.agg(F.count_if(c("version") < 0).alias("negative"), (F.count("*") - F.count_distinct("id", "version")).alias("repeated")))
-on(scores, "val_14", "SELECT 0 AS n", SR, lambda r: S.violations_of_samples(S.sample_rows(S.threshold(r, 0.3), "threshold", 0.3), r, 0.3).agg(F.count("*").cast("int").alias("n")))
-on(scores, "val_15", "SELECT 0 AS n", SR, lambda r: S.violations_of_pairs(S.select_pairs(r, "best_vs_worst"), r, 0.5, 0.1).agg(F.count("*").cast("int").alias("n")))
 on(scores, "val_16", "SELECT id, version FROM score_rows WHERE id % 9 = 0", SR, lambda r: K.recheck(r.withColumn("score", F.when(c("id") % 9 == 0, c("score") + 1e-4).otherwise(c("score"))), {"score": F.round(c("score_vlm") * c("score_ocr"), 6)}).select("id", "version"))
 on(scores, "val_17", "SELECT count(*) >= 64 AS enough FROM score_rows", SR, lambda r: r.agg((F.count("*") >= 64).alias("enough")))
 add("val_18", "SELECT lower(p_type) AS k, count(*) AS count FROM part GROUP BY 1 HAVING count(*) > 1")(lambda s, d: S.duplicates(A.table(s, d, "part").select(F.lower("p_type").alias("k")), "k"))
@@ -370,9 +397,6 @@ def src_09(spark, d):
 
 add("src_12", f"SELECT DISTINCT {UP.format('text')} AS key FROM benchmark")(lambda s, d: readers.excluded_targets(A.table(s, d, "benchmark"), "text"))
 add("src_13", f"SELECT DISTINCT sha256({UP.format('text')}) AS sha256 FROM benchmark")(lambda s, d: readers.hash_index(A.table(s, d, "benchmark"), "text"))
-add("src_14", "SELECT p_type AS id, max(p_partkey) AS position FROM part GROUP BY 1")(lambda s, d: Q.last_wins(A.table(s, d, "part").select(c("p_type").alias("id"), c("p_partkey").alias("k"), c("p_partkey").alias("position")), ["id"], "k").select("id", "position"))
-on(scores, "src_17", "SELECT CAST(id AS VARCHAR) AS prompt_id, version FROM score_rows WHERE version > 0", SR, lambda r: readers.image_tasks(r.select(F.concat(F.lit("/x/images/"), c("id"), F.when(c("version") > 0, F.lit("/v")).otherwise(F.lit("/v0")), c("version"), F.lit(".png")).alias("path"))).select("prompt_id", "version"))
-on(scores, "src_18", "SELECT CAST(id AS VARCHAR) AS prompt_id, count(*) AS versions FROM score_rows GROUP BY 1", SR, lambda r: readers.image_tasks(r.select(F.concat(F.lit("/x/images/"), c("id"), F.lit("/v"), c("version"), F.lit(".png")).alias("path"))).groupBy("prompt_id").agg(F.count("*").alias("versions")))
 
 
 @add("src_19", "SELECT CAST(event_id AS DOUBLE) AS step, reward FROM metrics", ME)
@@ -423,7 +447,11 @@ def _event_files(spark, d):
 
 @add("str_01", "SELECT event_id, value FROM events")
 def str_01(spark, d):
-    rows = streaming.stream_table(spark, _event_files(spark, d)).select("event_id", "value")
+    """Events of two types arrive twice, in later files; each is written once."""
+    files = _event_files(spark, d)
+    again = A.table(spark, d, "events").where(c("event_type").isin("click", "purchase"))
+    again.repartition(2).write.mode("append").parquet(files)
+    rows = streaming.stream_table(spark, files).select("event_id", "value")
     path = work_folder(spark, "scored")
     streaming.idempotent_sink(rows, path, work_folder(spark, "progress"), ["event_id"]).awaitTermination()
     return spark.read.parquet(path).select("event_id", "value")

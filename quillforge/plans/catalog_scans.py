@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators.scorers import phrases
-from .catalog import ME, PR, SR, TP, A, P, R, S, T, add, c, metrics, on, pairs, prompts, readers, scored, scores, sinks, streaming, work_folder
+from .catalog import PR, TP, A, P, S, T, add, c, on, pairs, prompts, readers, scored, scores, sinks, streaming, work_folder
 
 
 def _benchmark_lines(spark, d):
@@ -38,16 +38,6 @@ def src_08(spark, d):
     return lines.select(F.get_json_object("value", "$.id").alias("id"))
 
 
-@add("src_10", "SELECT count(*) AS records, 0 AS malformed FROM prompts", PR)
-def src_10(spark, d):
-    from pyspark.sql import types as X
-
-    path = work_folder(spark, "evidence")
-    prompts(spark, d).select("id", "style").write.json(path)
-    good, bad = readers.json_lines(spark, path, X.StructType([X.StructField("id", X.LongType()), X.StructField("style", X.StringType())]))
-    return good.agg(F.count("*").alias("records")).crossJoin(bad.agg(F.count("*").cast("int").alias("malformed")))  # one row each
-
-
 @add("src_11", "SELECT CAST(sample_id AS VARCHAR) AS sample_id, human_label FROM gold", "gold")
 def src_11(spark, d):
     path = work_folder(spark, "gold") + ".jsonl"
@@ -62,13 +52,6 @@ def src_15(spark, d):
     return readers.records(spark, path)
 
 
-@add("src_16", "SELECT CAST(id AS VARCHAR) AS id, 2 AS n FROM prompts WHERE id % 3 > 0", PR)
-def src_16(spark, d):
-    notes = F.when(c("id") % 3 > 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
-    rows = prompts(spark, d).select(c("id").cast("string").alias("id"), notes.alias("annotations"))
-    return rows.where(F.size("annotations") > 0).select("id", F.size("annotations").alias("n"))
-
-
 @add("src_04", "SELECT 'v1' AS schema_version, count(*) AS records FROM benchmark")
 def src_04(spark, d):
     path = work_folder(spark, "envelope") + ".json"
@@ -78,13 +61,7 @@ def src_04(spark, d):
     return whole.crossJoin(readers.records(spark, path).agg(F.count("*").alias("records")))  # one row each
 
 
-on(scores, "src_25", "SELECT id, version FROM score_rows WHERE score >= 0.7", SR, lambda r: S.threshold(r, 0.7).select("id", "version"))
-on(
-    scores, "src_26", "SELECT id, count(*) AS versions FROM score_rows WHERE id % 4 > 0 GROUP BY 1", SR,
-    lambda r: r.join(r.where("id % 4 > 0").select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("versions")),
-)
 on(prompts, "src_24", None, PR, lambda p: P.subset(p.select("id", "target_text"), 100, 3, "id"))
-on(prompts, "src_27", "SELECT id FROM prompts ORDER BY id LIMIT 32", PR, lambda p: p.select("id").orderBy("id").limit(32))
 add("udf_01", "SELECT sample_id, CASE WHEN length(target_text) = length(detected_text) THEN 'yes' ELSE 'no' END AS answer FROM text_pairs", TP)(
     lambda s, d: scored(pairs(s, d), c("target_text"), c("detected_text")).select("sample_id", F.when(c("evidence.score_ocr") > 0.5, "yes").otherwise("no").alias("answer"))
 )
@@ -100,31 +77,19 @@ def _generator():
 add("udf_05", "SELECT sample_id, 'sign: ' || target_text AS phrase FROM text_pairs", TP)(
     lambda s, d: phrases(pairs(s, d).select("sample_id", "target_text"), _generator, "sample_id long, phrase string")
 )
-on(
-    prompts, "sup_16", "SELECT style, unnest(range(1, count(*) + 1)) AS k FROM prompts GROUP BY style", PR,
-    lambda p: p.groupBy("style").agg(F.count("*").alias("n")).select("style", F.explode(F.sequence(F.lit(1).cast("long"), c("n"))).alias("k")),
-)
-on(prompts, "sup_08", "SELECT content_type, count(*) AS count FROM prompts WHERE content_type <> '' GROUP BY 1", PR, lambda p: p.where("content_type <> ''").groupBy("content_type").count())
-on(
-    scores, "sup_22", "SELECT id, 'images/' || id || '/v' || v || '.png' AS path FROM (SELECT DISTINCT id FROM score_rows), (SELECT unnest(range(3)) AS v)", SR,
-    lambda r: r.select("id").distinct().select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("v")).select("id", F.concat(F.lit("images/"), c("id"), F.lit("/v"), c("v"), F.lit(".png")).alias("path")),
-)
-on(
-    scores, "sup_01", "SELECT run, count(*) AS n, count(*) FILTER (score >= 0.8 AND id % 2 = 1) AS false_positive, count(*) FILTER (score <= 0.1 AND id % 2 = 0) AS false_negative FROM score_rows GROUP BY run", SR,
-    lambda r: r.groupBy("run").agg(F.count("*").alias("n"), F.count_if((c("score") >= 0.8) & (c("id") % 2 == 1)).alias("false_positive"), F.count_if((c("score") <= 0.1) & (c("id") % 2 == 0)).alias("false_negative")),
-)
-on(scores, "mth_14", "SELECT id, version, round(score_vlm * CASE WHEN version = 0 THEN 2.0 WHEN version < 3 THEN 1.6 ELSE 1.2 END, 6) AS weight FROM score_rows", SR, lambda r: r.select("id", "version", F.round(c("score_vlm") * F.when(c("version") == 0, 2.0).when(c("version") < 3, 1.6).otherwise(1.2), 6).alias("weight")))
-on(metrics, "agg_46", "SELECT event_type, round(avg(reward), 6) AS loss, count(*) AS batches FROM metrics GROUP BY 1", ME, lambda m: m.groupBy("event_type").agg(R.mean(c("reward")).alias("loss"), F.count("*").alias("batches")))
-
-
-@add("str_window", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+
+
+@add("str_window", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def str_window(spark, d):
-    """Hourly counts per type from the stream; the table that the partial counts make closes every window."""
+    """Hourly windows of the stream, closed by a watermark: the files are in no order, so the delay covers all of them, and
+    a last event long after the others closes every window."""
     source, path = work_folder(spark, "events"), work_folder(spark, "hours")
-    A.table(spark, d, "events").repartition(4).write.parquet(source)
-    hour = F.date_trunc("hour", "ts").alias("window_start")
-    streaming.collected(streaming.stream_table(spark, source), lambda b: b.groupBy(hour, "event_type").agg(F.count("*").alias("n")), path, work_folder(spark, "progress"))
-    return spark.read.parquet(path).groupBy("window_start", "event_type").agg(F.sum("n").alias("n"))
+    events = A.table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
+    events.repartition(4).write.parquet(source)
+    events.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.expr("ts + interval 10 years")).write.mode("append").parquet(source)
+    rows = streaming.windowed(streaming.stream_table(spark, source), "ts", "3650 days", "1 hour", "value", "event_type")
+    streaming.run_to_table(rows, path, work_folder(spark, "progress"))
+    return spark.read.schema(rows.schema).parquet(path).withColumn("window_start", c("window_start").cast("timestamp_ntz"))
 
 
 @add("snk_03", "SELECT pair_id, CAST(winner_version AS VARCHAR) AS winner_version FROM pairs", "pairs")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import SECRET_NAMES
 from ..operators.reconcile import diff
+from ..sources import documents
 
 STATES = {"planned": {"in_progress"}, "in_progress": {"failed", "complete"}, "failed": {"in_progress"}, "complete": set()}
 
@@ -119,16 +120,6 @@ def safe_path(root: str | Path, relative: str) -> Path:
     return path
 
 
-def dataset_manifest(paths: list[str], text_suffixes: tuple[str, ...] = (".csv", ".json", ".jsonl", ".txt"), limit: int = 10 << 20) -> list[dict]:
-    """Small text files with their hashes; others are named only."""
-    out = []
-    for p in sorted(paths):
-        size = Path(p).stat().st_size
-        hashed = p.endswith(text_suffixes) and size <= limit
-        out.append({"path": p, "bytes": size, "sha256": file_sha256(p) if hashed else None})
-    return out
-
-
 def evaluation_errors(config: dict) -> list[str]:
     """What is wrong with a held-out evaluation: targets, baseline, seeds, revisions."""
     targets, seeds, errors = config.get("targets", []), config.get("seeds", []), []
@@ -144,36 +135,70 @@ def evaluation_errors(config: dict) -> list[str]:
     return errors
 
 
-def evidence(paths: dict[str, str]) -> list[dict]:
+def evidence(spark: SparkSession, paths: dict[str, str]) -> list[dict]:
     """Name, path, size and hash of each file of evidence, in the order given; missing ones have neither size nor hash."""
-    out = []
-    for name, path in paths.items():
-        there = Path(path).is_file()
-        out.append({"name": name, "path": path, "bytes": Path(path).stat().st_size if there else None, "sha256": file_sha256(path) if there else None})
-    return out
+    return input_hashes(spark, paths)
 
 
-def verify_evidence(entries: list[dict]) -> list[dict]:
+def verify_evidence(spark: SparkSession, entries: list[dict]) -> list[dict]:
     """Entries whose file is missing or has changed."""
-    now = {e["name"]: e for e in evidence({e["name"]: e["path"] for e in entries})}
+    now = {e["name"]: e for e in evidence(spark, {e["name"]: e["path"] for e in entries})}
     found = []
     for e in entries:
-        if now[e["name"]]["sha256"] is None:
+        if now[e["name"]]["bytes"] is None:
             found.append({"name": e["name"], "reason": "missing"})
-        elif now[e["name"]]["sha256"] != e["sha256"]:
+        elif (now[e["name"]]["sha256"], now[e["name"]]["bytes"]) != (e["sha256"], e["bytes"]):
             found.append({"name": e["name"], "reason": "changed"})
     return found
 
 
-def claim(path: str | Path, contract: dict) -> dict:
+def claim(spark: SparkSession, path: str, contract: dict) -> dict:
     """The contract at the path: ours if we are the first to create it, else the one there, which must be the same."""
-    text = json.dumps(contract, sort_keys=True, ensure_ascii=False)
-    try:
-        with open(path, "x", encoding="utf-8") as f:
-            f.write(text)
-    except FileExistsError:
-        there = json.loads(Path(path).read_text(encoding="utf-8"))
-        if canonical_sha256(there) != canonical_sha256(contract):
-            changed = ", ".join(x["field"] for x in comparable(there, contract, set()))
-            raise ValueError(f"another contract is at {path}: {changed}") from None
+    if documents.create(spark, contract, path):
+        return contract
+    there = documents.read(spark, path)
+    if canonical_sha256(there) != canonical_sha256(contract):
+        changed = ", ".join(x["field"] for x in comparable(there, contract, set()))
+        raise ValueError(f"another contract is at {path}: {changed}")
     return contract
+
+
+DATASET = "dataset-manifest/v1"
+HASHED_SUFFIXES = (".csv", ".json", ".jsonl", ".md", ".txt")
+
+
+def input_hashes(spark: SparkSession, paths: dict[str, str], limit: int = 64 << 20) -> list[dict]:
+    """Name, path, size and hash of inputs; larger ones, and ones that are not there, are named only."""
+    out = []
+    for name, path in paths.items():
+        there = documents.is_file(spark, path)
+        size = documents.size(spark, path) if there else None
+        out.append({"name": name, "path": path, "bytes": size, "sha256": documents.sha256(spark, path) if there and size <= limit else None})
+    return out
+
+
+def path_fields(config: dict) -> list[str]:
+    """Fields of a configuration that name files or folders, by dotted path."""
+    return [k for k, v in flatten(config).items() if isinstance(v, str) and ("/" in v or k.endswith(("_path", "_dir", "_csv", "_json", "_jsonl")))]
+
+
+def write_dataset_manifest(spark: SparkSession, path: str, kind: str, paths: list[str], config: dict, counts: dict[str, int] | None = None, limit: int = 10 << 20) -> dict:
+    """What a dataset is made of: small text files with their hashes, others by name, the configuration and row counts."""
+    entries = []
+    for p in sorted(paths):
+        small = p.endswith(HASHED_SUFFIXES) and documents.is_file(spark, p) and documents.size(spark, p) <= limit
+        entries.append({"path": p, "bytes": documents.size(spark, p) if documents.is_file(spark, p) else None, "sha256": documents.sha256(spark, p) if small else None})
+    payload = {
+        "schema_version": DATASET, "dataset_kind": kind, "dataset_paths": entries, "config_snapshot": redact(config), "config_sha256": canonical_sha256(redact(config)),
+        "output_counts": counts or {}, "created_at": utc_now(),
+    }
+    documents.write(spark, payload, path)
+    return payload
+
+
+def load_dataset_manifest(spark: SparkSession, path: str) -> dict:
+    payload = documents.read(spark, path)
+    lacking = [k for k in ("dataset_kind", "dataset_paths", "config_sha256") if k not in payload]
+    if payload.get("schema_version") != DATASET or lacking:
+        raise documents.DocumentError(f"{path}: no dataset manifest ({', '.join(lacking) or 'another version'})")
+    return payload

@@ -39,7 +39,7 @@ def scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("target_text"), F.col("lang").alias("content_type"), F.col("source").alias("style"), "n_chars"
+        F.col("doc_id").alias("id"), F.col("text").alias("target_text"), F.col("lang").alias("content_type"), F.col("source").alias("style"), "n_chars"
     )
 
 
@@ -62,7 +62,7 @@ CTES = {
     "text_pairs": "SELECT a.p_partkey AS sample_id, a.p_name AS target_text, b.p_name AS detected_text FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1",
     "scored_texts": """SELECT s.*, a.p_name AS target_text, b.p_name AS detected_text FROM score_rows s JOIN part a ON a.p_partkey = s.partkey
       LEFT JOIN part b ON b.p_partkey = s.partkey + 1""",
-    "prompts": "SELECT doc_id AS id, split_part(text, chr(10), 1) AS target_text, lang AS content_type, source AS style, n_chars FROM documents",
+    "prompts": "SELECT doc_id AS id, text AS target_text, lang AS content_type, source AS style, n_chars FROM documents",
     "gold": "SELECT doc_id AS sample_id, quality = 1 AS expected_exact_match, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS human_label FROM labels",
     "metrics": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS step, value AS reward, event_type FROM events",
     "best": """SELECT id, count(*) AS n, max(struct_pack(s := score, v := version)) AS b, min(struct_pack(s := score, v := version)) AS w
@@ -79,4 +79,6 @@ def oracle(names: str, query: str) -> str:
     for n in names.split():
         wanted += [x for x in [*USES.get(n, []), n] if x not in wanted]
     head = ", ".join(f"{n} AS ({CTES[n]})" for n in wanted)
+    if head and query.lstrip().startswith("WITH "):
+        return f"WITH {head}, {query.lstrip().removeprefix('WITH ')}"
     return f"WITH {head} {query}" if head else query

@@ -18,11 +18,14 @@ class ContractError(ValueError):
     """An input breaks its contract; all problems are listed."""
 
 
-def csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with header, every column a string."""
+def csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV file with header, every column a string.
+
+    Values with line breaks need ``multi_line``, for which Spark reads a file in one task; without it files are split.
+    """
     header = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,13 +85,21 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     return good, parsed.where("r._bad is not null").select("value")
 
 
+CONTRACT_BYTES = 256 << 20
+
+
 def numbered_lines(spark: SparkSession, path: str, count_blank: bool = True) -> DataFrame:
-    """position (from 0) and value of the lines of a contract-size file; blank lines go, counted or not before."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("position", "value"))
+    """position (from 0) and value of the lines of a contract-size file; blank lines go, counted or not before.
+
+    The file is one row for a moment, so larger ones than a contract may be are refused.
+    """
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    if size > CONTRACT_BYTES:
+        raise ContractError(f"{path}: {size} bytes are too many for a file that is read as a whole")
+    whole = spark.read.text(path, wholetext=True)
     if count_blank:
-        return lines.where(F.trim("value") != "")
-    kept = spark.read.text(path, wholetext=True)
-    return kept.select(F.posexplode(F.filter(F.split("value", "\n"), lambda v: F.trim(v) != "")).alias("position", "value"))
+        return whole.select(F.posexplode(F.split("value", "\n")).alias("position", "value")).where(F.trim("value") != "")
+    return whole.select(F.posexplode(F.filter(F.split("value", "\n"), lambda v: F.trim(v) != "")).alias("position", "value"))
 
 
 def prompt_keys(lines: DataFrame, schema: str = "id string, prompt string, target_text string") -> DataFrame:
@@ -169,3 +180,67 @@ def version_errors(documents: DataFrame, expected: str, column: str = "schema_ve
     """Documents whose schema version is missing or another."""
     reason = F.when(F.col(column).isNull(), "missing").otherwise("unexpected")
     return documents.where(~F.col(column).eqNullSafe(F.lit(expected))).withColumn("reason", reason)
+
+
+def layout(found: DataFrame, versioned: bool, suffix: str) -> DataFrame:
+    """path, id and version of files <id>/v<n><suffix> or <id><suffix>; names of another form have no id.
+
+    A version has no leading zeros, as both v1 and v01 would otherwise be the same version.
+    """
+    last = suffix.replace(".", "\\.")
+    pattern = f"([^/]+)/v(0|[1-9][0-9]*){last}$" if versioned else f"([^/]+){last}$"
+    version = F.regexp_extract("path", pattern, 2).try_cast("int") if versioned else F.lit(None).cast("int")
+    return found.select("path", F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")).alias("id"), version.alias("version"))
+
+
+def scoring_tasks(spark: SparkSession, images: str, texts: str) -> DataFrame:
+    """id, version and path of images that have a text embedding; a folder without any is an error."""
+    found = layout(listing(spark, images), True, ".png").where("id is not null")
+    known = layout(listing(spark, texts, "*.pt"), False, ".pt").select("id").distinct()
+    tasks = found.join(known, "id", "left_semi").select("id", "version", "path")
+    if tasks.isEmpty():
+        raise ContractError(f"{images}: there is nothing to score")
+    return tasks
+
+
+def masked_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """id, H and W of latents that have a text embedding; shapes come from shapes.csv where it is there."""
+    latents, texts = (layout(listing(spark, f"{folder}/{d}", "*.pt"), False, ".pt").select("id").distinct() for d in ("latents", "text_embeds"))
+    both = latents.join(texts, "id", "left_semi")
+    from .documents import exists
+
+    if not exists(spark, f"{folder}/shapes.csv"):
+        return both.withColumns({"H": F.lit(None).cast("long"), "W": F.lit(None).cast("long")})
+    shapes = last_wins(csv(spark, f"{folder}/shapes.csv").withColumn("_at", F.monotonically_increasing_id()), ["id"], "_at")
+    return both.join(shapes.select("id", integral(F.col("H")).alias("H"), integral(F.col("W")).alias("W")), "id", "left")
+
+
+def head_of_folder(spark: SparkSession, folder: str, n: int | None = None) -> DataFrame:
+    """Paths of a folder's tensors in the order of their names, the first n if a number is given."""
+    paths = listing(spark, folder, "*.pt").select("path").orderBy("path")
+    return paths if n is None else paths.limit(n)
+
+
+def synthetic_records(index: DataFrame, meta: DataFrame) -> DataFrame:
+    """Samples of a synthesis index with their own document (id, value as JSON text).
+
+    Samples without a document, or whose document has no annotations, are left out. Ids that differ in case only are an
+    error, as file systems may take them for one.
+    """
+    twice = index.groupBy(F.lower("id").alias("id")).count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ContractError("ids occur more than once: " + ", ".join(r.id for r in twice))
+    schema = "resolution int, bg_path string, label string, annotations array<struct<text:string,bbox:array<double>,font:string>>"
+    parsed = meta.select("id", F.from_json("value", schema).alias("m")).select("id", "m.*")
+    return index.join(parsed, "id").where(F.size("annotations") > 0)
+
+
+def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table by its suffix, or no rows if it is not there."""
+    from .documents import exists
+
+    if exists(spark, path):
+        found = records(spark, path)
+        wanted = T._parse_datatype_string(schema).names
+        return found.select(*[F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+    return spark.createDataFrame([], schema)

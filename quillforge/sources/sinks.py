@@ -8,9 +8,11 @@ import tempfile
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
+
 
 def json_rows(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """JSON lines with sorted keys. An order asks for one sorted file and is meant for results of report size."""
@@ -58,11 +60,12 @@ def pick(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def scatter(rows: DataFrame, order: str, value: str, width: int = 640, height: int = 360) -> DataFrame:
-    """Canvas points of a series of report size."""
-    every, k = Window.partitionBy(), F.row_number().over(Window.orderBy(order)) - 1
-    low, high, n = F.min(value).over(every), F.max(value).over(every), F.count("*").over(every)
-    y = F.coalesce((F.col(value) - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.5))
-    return rows.select(order, F.round(k * width / F.greatest(n - 1, F.lit(1)), 3).alias("x"), F.round(height * (1 - y), 3).alias("y"))
+    """Canvas points of a series, evenly spaced in the given order."""
+    bounds = rows.agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_count"))
+    placed = numbered(rows, order, "_at").crossJoin(F.broadcast(bounds))  # one row
+    y = F.coalesce((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)), F.lit(0.5))
+    x = F.col("_at") * width / F.greatest(F.col("_count") - 1, F.lit(1))
+    return placed.select(order, F.round(x, 3).alias("x"), F.round(height * (1 - y), 3).alias("y"))
 
 
 def markdown_table(df: DataFrame, limit: int = 100) -> str:
@@ -77,8 +80,13 @@ def svg(points: list[tuple[float, float]], width: int = 640, height: int = 360)
     return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}">{dots}</svg>\n'
 
 
+MOST_IMAGES = 1_000_000
+
+
 def image_document(records: DataFrame, root: str, path: str) -> None:
-    """One JSON document with its root and a list of image entries; a document of report size, so one row holds it."""
+    """One JSON document with its root and a list of image entries; one row holds it, so longer lists than fit are refused."""
+    if (n := records.limit(MOST_IMAGES + 1).count()) > MOST_IMAGES:
+        raise ValueError(f"{n} images or more are too many for one document")
     entry = F.struct(
         F.concat(F.lit("imgs/"), F.col("id"), F.lit(".png")).alias("img_name"), F.col("resolution").alias("width"), F.col("resolution").alias("height"),
         "caption", F.lit(0.0).alias("wm_score"), "annotations",
@@ -96,3 +104,59 @@ def record_list_hash(rows: DataFrame, keys: list[str], order: str, record: Colum
     listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), part.alias("part"))))
     joined = F.array_join(F.transform(listed, lambda x: x["part"]), "")
     return rows.groupBy(*keys).agg(F.sha2(F.unhex(joined), 256).alias("sha256"))
+
+
+def files(rows: DataFrame) -> DataFrame:
+    """Write a file for each row (path, content as bytes) and return path and bytes; tasks write, nothing is gathered.
+
+    Each file is written aside and moved into place, so a task that is tried again replaces whole files.
+    """
+
+    def run(it):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in it:
+            paths, sizes = batch.column("path").to_pylist(), []
+            for path, content in zip(paths, batch.column("content").to_pylist(), strict=True):
+                where, at = fs.FileSystem.from_uri(path)
+                where.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with where.open_output_stream(part) as out:
+                    out.write(content or b"")
+                where.move(part, at)
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, bytes long")
+
+
+def fan_out(rows: DataFrame) -> DataFrame:
+    """Copy or, where source and target share a local disk, hard-link files (path, target); returns target and how."""
+
+    def run(it):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in it:
+            targets, how = batch.column("target").to_pylist(), []
+            for path, target in zip(batch.column("path").to_pylist(), targets, strict=True):
+                (a, source), (b, place) = fs.FileSystem.from_uri(path), fs.FileSystem.from_uri(target)
+                b.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                try:
+                    if not (isinstance(a, fs.LocalFileSystem) and isinstance(b, fs.LocalFileSystem)):
+                        raise OSError("not on one disk")
+                    if os.path.exists(place):
+                        os.unlink(place)
+                    os.link(source, place)
+                    how.append("link")
+                except OSError:
+                    fs.copy_files(source, place, source_filesystem=a, destination_filesystem=b)
+                    how.append("copy")
+            yield pa.RecordBatch.from_arrays([pa.array(targets, pa.string()), pa.array(how, pa.string())], names=["target", "how"])
+
+    return rows.select("path", "target").mapInArrow(run, "target string, how string")

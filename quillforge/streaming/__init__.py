@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import documents
+
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A file stream over Parquet with the schema of what is there."""
@@ -14,11 +16,23 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def idempotent_sink(rows: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """Exactly-once rows per key: a batch that is repeated overwrites its own folder, and its rows are unique by key."""
+def idempotent_sink(rows: DataFrame, path: str, checkpoint: str, keys: list[str], time: str | None = None, late: str = "1 day"):
+    """One row a key, however often and in however many batches it arrives; a batch that is repeated overwrites its own folder.
+
+    With a time column, keys are remembered for ``late`` (bounded state); a key that comes again later than that is a new
+    one. Without one, each batch is held against what earlier batches have written.
+    """
+    if time:
+        rows = rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        new = batch.dropDuplicates(keys)
+        if not time and epoch:
+            before = [f"{path}/batch={k}" for k in range(epoch) if documents.exists(batch.sparkSession, f"{path}/batch={k}")]
+            if before:
+                done = batch.sparkSession.read.parquet(*before).select(*keys)
+                new = new.join(done, keys, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

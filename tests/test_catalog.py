@@ -3,10 +3,10 @@
 import oracle
 import pytest
 
-from quillforge.plans import catalog, catalog_documents, catalog_more, catalog_scans
+from quillforge.plans import catalog, catalog_artifacts, catalog_documents, catalog_more, catalog_scans
 
 SF = "/root/testdata/sf0.001"
-assert catalog_more and catalog_scans and catalog_documents
+assert catalog_more and catalog_scans and catalog_documents and catalog_artifacts
 
 
 @pytest.fixture(scope="module")
