@@ -35,6 +35,7 @@ from .common import batches, fresh, small_batches, texts, two
 
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
+TAIL = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}]+)")  # a word and the marks after it, which are two splits
 
 BYTE_CHARS = {  # the byte-level alphabet: printable bytes stand for themselves, the others are moved up from 256
     b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)
@@ -75,6 +76,8 @@ class _Chunks(dict):
             ids = array("I", map(TOKEN_ID, self.tokenize(mapped))).tobytes()
         elif chunk[:-1].isalpha() and chunk[-1] in ",.":
             ids = self[chunk[:-1]] + self.splits[chunk[-1]]
+        elif m := TAIL.fullmatch(chunk):
+            ids = self[m[1]] + self.splits[m[2]]
         else:
             ids = b"".join(map(self.splits.__getitem__, SPLIT.findall(" " + chunk)))
         self[chunk] = ids
@@ -135,24 +138,29 @@ def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 16
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     total = first_rule
-    while len(seq) > 1:
+    # where a frequent pair may begin: a pair can only become frequent beside a symbol that is new
+    open_ = np.ones(len(seq), dtype=bool)
+    while True:
+        at = np.flatnonzero(open_ & ~last)
+        left, right = seq[at], seq[at + 1]
         # hashed counts bound a pair's count from above; only pairs in full enough buckets are counted exactly
-        bucket = _pair_hash(seq[:-1], seq[1:])
-        full = np.bincount(bucket, minlength=1 << 18) >= least
-        at = np.flatnonzero(full[bucket] & ~last[:-1])
-        some = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        bucket = _pair_hash(left, right)
+        full = (np.bincount(bucket, minlength=1 << 18) >= least)[bucket]
+        at, bucket = at[full], bucket[full]
+        some = (left[full].astype(np.uint64) << np.uint64(32)) | right[full]
         ordered = np.sort(some)
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, int)
         counts = np.diff(edge)
         chosen = ordered[edge[:-1]][counts >= least]
         if not len(chosen):
             break
-        counts = counts[counts >= least]
+        open_[:] = False
+        open_[at] = True
         # a slot a bucket: of the chosen pairs in one bucket, the most frequent goes first and the others wait a round
-        order = np.argsort(counts, kind="stable")
+        order = np.argsort(counts[counts >= least], kind="stable")
         slot = np.full(1 << 18, -1, dtype=np.int64)
         slot[_pair_hash((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))[order]] = order
-        where = slot[bucket[at]]
+        where = slot[bucket]
         hit = (where >= 0) & (chosen[where] == some)
         at, where = at[hit], where[hit]
         # of occurrences that overlap in a row, every other one from the left is replaced
@@ -163,16 +171,18 @@ def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 16
         at, where = at[take], where[take]
         # a pair that lost most of its places to neighbours waits for the next round, but some pair always goes
         n = np.bincount(where, minlength=len(chosen))
-        pays = n >= min(least, n.max())
-        at, where = at[pays[where]], where[pays[where]]
-        used, where = np.unique(where, return_inverse=True)
-        rules.append(chosen[used])
-        seq[at] = total + where
-        total += len(used)
+        goes = n >= min(least, n.max())
+        at, where = at[goes[where]], where[goes[where]]
+        rules.append(chosen[goes])
+        seq[at] = total + (np.cumsum(goes) - 1)[where]
+        total += int(goes.sum())
         last[at] |= last[at + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq, last, open_ = seq[keep], last[keep], open_[keep]
+        at -= np.arange(len(at))
+        open_[at] = True
+        open_[at[at > 0] - 1] = True
     flat = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     both = np.stack((flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64)
     return both, seq.astype(np.int64), np.flatnonzero(last) + 1
