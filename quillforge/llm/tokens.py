@@ -35,8 +35,6 @@ from .common import batches, fresh, small_batches, texts, two
 
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-TAIL = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}]+)")  # a word and the marks after it, which are two splits
-
 BYTE_CHARS = {  # the byte-level alphabet: printable bytes stand for themselves, the others are moved up from 256
     b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)
 }
@@ -76,8 +74,6 @@ class _Chunks(dict):
             ids = array("I", map(TOKEN_ID, self.tokenize(mapped))).tobytes()
         elif chunk[:-1].isalpha() and chunk[-1] in ",.":
             ids = self[chunk[:-1]] + self.splits[chunk[-1]]
-        elif m := TAIL.fullmatch(chunk):
-            ids = self[m[1]] + self.splits[m[2]]
         else:
             ids = b"".join(map(self.splits.__getitem__, SPLIT.findall(" " + chunk)))
         self[chunk] = ids
@@ -142,24 +138,26 @@ def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 16
     open_ = np.ones(len(seq), dtype=bool)
     while True:
         at = np.flatnonzero(open_ & ~last)
-        left, right = seq[at], seq[at + 1]
+        # symbols of 16 bits need half the memory to sort; pairs and rules are the same either way
+        bits = np.uint32(16) if total <= 1 << 16 else np.uint64(32)
+        pair = (seq[at].astype(bits.dtype) << bits) | seq[at + 1].astype(bits.dtype)
         # hashed counts bound a pair's count from above; only pairs in full enough buckets are counted exactly
-        bucket = _pair_hash(left, right)
-        full = (np.bincount(bucket, minlength=1 << 18) >= least)[bucket]
-        at, bucket = at[full], bucket[full]
-        some = (left[full].astype(np.uint64) << np.uint64(32)) | right[full]
+        bucket = _pair_hash(pair)
+        full = np.flatnonzero((np.bincount(bucket, minlength=1 << 18) >= least)[bucket])
+        at, bucket, some = at[full], bucket[full], pair[full]
         ordered = np.sort(some)
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, int)
         counts = np.diff(edge)
         chosen = ordered[edge[:-1]][counts >= least]
         if not len(chosen):
             break
+        counts = counts[counts >= least]
         open_[:] = False
         open_[at] = True
         # a slot a bucket: of the chosen pairs in one bucket, the most frequent goes first and the others wait a round
-        order = np.argsort(counts[counts >= least], kind="stable")
-        slot = np.full(1 << 18, -1, dtype=np.int64)
-        slot[_pair_hash((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))[order]] = order
+        order = np.argsort(counts, kind="stable")
+        slot = np.full(1 << 18, -1, dtype=np.int32)
+        slot[_pair_hash(chosen)[order]] = order
         where = slot[bucket]
         hit = (where >= 0) & (chosen[where] == some)
         at, where = at[hit], where[hit]
@@ -169,11 +167,11 @@ def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 16
         run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, where = at[take], where[take]
-        # a pair that lost most of its places to neighbours waits for the next round, but some pair always goes
+        # a pair that lost nearly all its places to neighbours waits for the next round, but some pair always goes
         n = np.bincount(where, minlength=len(chosen))
-        goes = n >= min(least, n.max())
+        goes = n >= min(4, n.max())
         at, where = at[goes[where]], where[goes[where]]
-        rules.append(chosen[goes])
+        rules.append(np.stack((chosen[goes] >> bits, chosen[goes] & ((bits.dtype.type(1) << bits) - bits.dtype.type(1))), axis=1).astype(np.int64))
         seq[at] = total + (np.cumsum(goes) - 1)[where]
         total += int(goes.sum())
         last[at] |= last[at + 1]
@@ -183,14 +181,15 @@ def compress(seq: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 16
         at -= np.arange(len(at))
         open_[at] = True
         open_[at[at > 0] - 1] = True
-    flat = np.concatenate(rules) if rules else np.empty(0, np.uint64)
-    both = np.stack((flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64)
+    both = np.concatenate([np.empty((0, 2), np.int64), *rules])
     return both, seq.astype(np.int64), np.flatnonzero(last) + 1
 
 
-def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _pair_hash(pair: np.ndarray) -> np.ndarray:
     """18 bits of each pair of symbols."""
-    return (((a * np.uint32(0x85EBCA6B)) ^ (a >> np.uint32(15)) ^ (b * np.uint32(0x9E3779B1))) >> np.uint32(14)).astype(np.intp)
+    if pair.dtype == np.uint32:
+        return ((pair * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int32)
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
 
 
 class Grammar:
