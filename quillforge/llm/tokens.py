@@ -34,6 +34,7 @@ from tokenizers import Tokenizer
 from .common import batches, fresh, small_batches, texts, two
 
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 BYTE_CHARS = {  # the byte-level alphabet: printable bytes stand for themselves, the others are moved up from 256
     b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)
@@ -72,8 +73,13 @@ class _Chunks(dict):
         if chunk.isalpha():
             mapped = SPACE + (chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_CHARS))
             ids = array("I", map(TOKEN_ID, self.tokenize(mapped))).tobytes()
-        elif chunk[:-1].isalpha() and chunk[-1] in ",.":
-            ids = self[chunk[:-1]] + self.splits[chunk[-1]]
+        elif (core := chunk.rstrip(MARKS)).isalpha():  # the marks are one split
+            ids = self[core] + self.splits[chunk[len(core) :]]
+        elif (cut := chunk.find("\n")) > 0 and not chunk[cut - 1].isspace() and not chunk[cut + 1 : cut + 2].isspace() and cut + 1 < len(chunk):
+            # one line break between two words is a split of its own, and what follows it has no space before it
+            rest = chunk[cut + 1 :]
+            ids = self[chunk[:cut]] + self.splits["\n"]
+            ids += self.splits[rest] if rest.isalpha() else b"".join(map(self.splits.__getitem__, SPLIT.findall(rest)))
         else:
             ids = b"".join(map(self.splits.__getitem__, SPLIT.findall(" " + chunk)))
         self[chunk] = ids
