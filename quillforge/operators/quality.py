@@ -78,9 +78,12 @@ def duplicate_rate(rows: DataFrame, key: Column) -> DataFrame:
 
 
 def character_counts(rows: DataFrame, text: Column) -> DataFrame:
-    """Occurrences of each lower-case character that is no white space or bar; counted per row first, so little moves."""
-    counts = rows.select(F.explode(T.count_map(F.regexp_replace(F.lower(text), "(?U)[\\s|]", ""))).alias("char", "n"))
-    return counts.groupBy("char").agg(F.sum("n").alias("count"))
+    """Occurrences of each lower-case character that is no white space or bar.
+
+    Every character is a row for a moment, within a task; counts by character leave it, so little moves.
+    """
+    each = rows.select(F.explode(F.split(F.regexp_replace(F.lower(text), "(?U)[\\s|]", ""), "")).alias("char"))
+    return each.where("char <> ''").groupBy("char").agg(F.count("*").alias("count"))
 
 
 def required_coverage(counts: DataFrame, required: str) -> DataFrame:
