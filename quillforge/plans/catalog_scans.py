@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import series as E
 from ..operators.scorers import phrases
 from .catalog import PR, TP, A, P, S, T, add, c, on, pairs, prompts, readers, scored, scores, sinks, streaming, work_folder
 
@@ -99,3 +100,14 @@ def snk_03(spark, d):
     return spark.read.option("primitivesAsString", True).json(path)
 
 
+CURVE = """WITH v AS (SELECT step, round(avg(reward), 6) AS v FROM metrics GROUP BY 1), m AS (SELECT step, avg(v) OVER (ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s, row_number() OVER (ORDER BY step) AS k FROM v),
+  p AS (SELECT step, s, row_number() OVER (ORDER BY step) - 1 AS k, count(*) OVER () AS n, min(s) OVER () AS lo, max(s) OVER () AS hi FROM m WHERE k >= 5)
+SELECT step, round(k * 640 / greatest(n - 1, 1), 3) AS x, round(360 * (1 - coalesce((s - lo) / nullif(hi - lo, 0), 0.5)), 3) AS y FROM p"""
+
+
+@add("snk_20", CURVE, "metrics")
+def snk_20(spark, d):
+    """Points of a training curve: the mean reward of each step, smoothed over five."""
+    steps = A.metrics(spark, d).groupBy("step").agg(F.round(F.avg("reward"), 6).alias("v"))
+    smooth = E.moving_average(steps, "v", "step", 5).select("step", "smoothed")
+    return sinks.scatter(smooth, "step", "smoothed")
