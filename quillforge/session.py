@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +50,15 @@ def work_folder(spark: SparkSession, what: str) -> str:
             _OWN[app] = tempfile.mkdtemp(prefix="quillforge-")
         base = "file://" + _OWN[app]
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as it ends; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

@@ -2,6 +2,9 @@
 
 import random
 import statistics
+import time
+import uuid
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -110,6 +113,32 @@ def test_unknown_stages_and_missing_paths(spark):
     assert len(artifacts.STAGES) == 19 and set(artifacts.ALIASES.values()) <= set(artifacts.STAGES)
 
 
+def test_bundles_share_one_small_table_and_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    local = tmp_path / "bundles"
+    monkeypatch.setattr(catalog_artifacts, "work_folder", lambda _, what: f"file://{local}/{what}-{uuid.uuid4().hex}")
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        found = (files.apply(k) for k in range(files.size()))
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    def left():
+        return sum(n for name, n in shuffled().items() if name not in before)
+
+    before = shuffled()
+    got = {r.kind: r for r in catalog_artifacts.prv_11(spark, SF).collect()}
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert {r.scored for r in got.values()} == {n} and got["linked"].outputs == 3 and got["unlinked"].outputs == 0
+    assert len({p.parent for p in local.rglob("part-*")}) == 1  # before, JSON lines for each bundle
+    size = sum(p.stat().st_size for p in local.rglob("*") if p.is_file())
+    assert size < 2 * (Path(SF) / "lineitem.parquet").stat().st_size
+    deadline = time.time() + 20  # files go in the background
+    while left() > 1000 and time.time() < deadline:
+        time.sleep(0.2)
+    assert left() <= 1000
+
+
 def test_formula_choice_refuses_unknown_scorers():
     with pytest.raises(ValueError):
         artifacts.choose_formula({"scorer": "ear"})
