@@ -189,6 +189,44 @@ def test_overlap_against_brute_force(spark, tile):
     assert len({(got[k], want[k]) for k in got}) == len(set(got.values())) == len(set(want))
 
 
+def test_fingerprints_decide_pairs_within_their_radius(monkeypatch):
+    rng = random.Random(16)
+    texts = []
+    for _ in range(40):
+        ws = prose(rng, 60).split()
+        texts += [" ".join(ws), " ".join([*ws[:55], "edited", *ws[56:]]), " ".join([*ws[:20], "edited", *ws[21:]])]
+    every = [neardup.shingle_hashes(t.encode(), 5) for t in texts]
+    sets, fps = [np.unique(h) for h in every], [neardup.majority(h) for h in every]
+    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), k))
+    cols = {
+        "cls": np.array(order), "n": np.array([len(sets[k]) for k in order]), "pos": np.zeros(len(order), np.int64),
+        "fp": np.array([fps[k] for k in order], np.uint64), "parity": np.array([overlap._parity(sets[k]) for k in order]).view(np.uint64),
+    }
+    got = lambda radius: {p for a, b in overlap._near(np.ones(len(order)), cols, 0.8, None, radius) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if both(a, b) >= 0.8 * (len(sets[a]) + len(sets[b]) - both(a, b)) - 1e-9}
+    assert len(want) >= 80 and all(want <= got(radius) for radius in (-1, 0, 8, 16, 64))  # no link is lost at any radius
+    near = {(a, b) for a, b in want if (fps[a] ^ fps[b]).bit_count() <= 8}
+    none = np.empty(0, np.int64)
+    with monkeypatch.context() as m:
+        m.setattr(overlap, "_fingerprint_pairs", lambda *_: (none, none))
+        assert near and want & got(8) == want - near  # nothing else finds them
+    with monkeypatch.context() as m:
+        m.setattr(overlap, "_distant_pairs", lambda *_: (none, none))
+        assert near != want and want & got(8) == near
+
+
+@pytest.mark.parametrize("radius", [-1, 6])
+def test_overlap_of_any_radius(spark, radius):
+    rng, texts = random.Random(17), list(AWKWARD)
+    for _ in range(8):
+        ws = prose(rng, 60).split()
+        texts += [" ".join(ws), " ".join([*ws[:55], "edited", *ws[56:]]), " ".join([*ws[:20], "edited", *ws[21:]])]
+    want = brute_overlap(texts)
+    got = {r.doc_id: r.root for r in overlap.similar(frame(spark, texts), radius=radius).collect()}
+    assert len({(got[k], want[k]) for k in got}) == len(set(got.values())) == len(set(want))
+
+
 def test_pipeline_drops_edited_copies(spark):
     import corpus_pipeline
 
